@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import op5
+from lodestrata.llm import op5, op6
 
-_MODULES = (op5,)
+_MODULES = (op5, op6)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
