@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import op5, op6, op10
+from lodestrata.llm import op2, op5, op6, op10
 
-_MODULES = (op5, op6, op10)
+_MODULES = (op2, op5, op6, op10)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
