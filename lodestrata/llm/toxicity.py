@@ -45,7 +45,7 @@ def _sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[order], rows[order]
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Word starts, and for each kind of feature its hashes and the words that have it."""
     starts, ends = textvec.spans(data, offsets, textvec.LETTER)
     hasher = textvec.Hasher(data)
@@ -64,7 +64,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, labels, out = got.column(0).to_pylist(), got.column(1).to_pylist(), []
         for first, end, data, offsets in textvec.slices(lower):
             sentence, rows = _sentences(data, offsets)
-            starts, kinds, owners = _features(data, offsets)
+            starts, kinds, owners = word_features(data, offsets)
             hashes, word = np.concatenate(kinds), np.concatenate(owners)
             at = np.searchsorted(sentence, starts[word], side="right") - 1
             order = np.argsort(at, kind="stable")
@@ -177,7 +177,7 @@ def _score(model: Model):
             scores, found = np.zeros(len(got)), [[] for _ in range(len(got))]
             for first, end, data, offsets in textvec.slices(pc.utf8_lower(got.column(1))):
                 sentence, rows = _sentences(data, offsets)
-                starts, kinds, owners = _features(data, offsets)
+                starts, kinds, owners = word_features(data, offsets)
                 logit = np.full(len(sentence), model.bias)
                 for hashes, word in zip(kinds, owners, strict=True):
                     hit = np.flatnonzero(maybe[(hashes >> shift).astype(np.int64)]) if len(model.hashes) else []
