@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import op2, op3, op4, op5, op6, op7, op8, op9, op10
+from lodestrata.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
-_MODULES = (op2, op3, op4, op5, op6, op7, op8, op9, op10)
+_MODULES = (op1, op2, op3, op4, op5, op6, op7, op8, op9, op10)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
