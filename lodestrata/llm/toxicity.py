@@ -212,6 +212,18 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return rows.mapInArrow(_score(model), _SCORED)
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            plain = pa.RecordBatch.from_arrays([pa.array(range(len(got)), pa.int64()), got.column(got.schema.get_field_index(text))], ["doc_id", "text"])
+            (scored,) = _score(model)(iter([plain]))
+            yield got.filter(pc.less(scored.column(1), threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept from training: crc32 of the id's text is 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
