@@ -1,10 +1,15 @@
-"""The registry of queries on the reference's own operators."""
+"""The registry of queries on the engine's own operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.plans import common, objects_queries, perception_queries, relations_queries
+from lodestrata.plans.common import Views
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+MODULES = (objects_queries, relations_queries, perception_queries)
+QUERIES, ORACLE_SQL = common.QUERIES, common.ORACLE_SQL
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations_queries.relation_summary(Views(spark, sf_dir))
