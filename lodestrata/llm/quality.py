@@ -133,7 +133,9 @@ def certified_cutoffs(
     return passed.groupBy("stratum", "rule").agg(F.max_by("score", F.struct(gain, F.col("score"))).alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", keep: list[str] | None = None, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA, good_cost: float = GOOD_COST
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``keep`` columns, stratum, the metrics, base_failed and kept.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); its rows are the holdout, and of
@@ -149,7 +151,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: s
     scored = cut(scored)  # metrics are few bytes a row and read twice
     votes = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("doc_id")).agg(F.min("quality").alias("quality"))
     holdout = scored.where(~F.col("base_failed")).join(votes, "doc_id")
-    cutoffs = cut(certified_cutoffs(holdout).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")))
+    cutoffs = cut(certified_cutoffs(holdout, max_false_rejection, delta, good_cost).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")))
     if cutoffs.count() <= BROADCAST_STRATA:
         cutoffs = F.broadcast(cutoffs)
     over = [F.coalesce(F.col(r) >= F.col("cutoffs")[r], F.lit(False)) for r in RULES]
