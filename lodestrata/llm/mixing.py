@@ -31,6 +31,11 @@ SAMPLE_PER_DOMAIN = 1500
 MIN_DOCS, MIN_RATIO = 4, 6.0
 _MAP_BITS = 22
 STEPS, TOLERANCE = 40, 1e-5
+#: No document is taken more often than this.
+MAX_RATE = 2.0
+#: Added to the Gram matrix, as a share of its mean diagonal: a domain that hardly occurs in the
+#: posteriors does not steer the others.
+RIDGE = 1e-3
 _MARKS = np.array([c for c in range(33, 127) if not textvec.LETTER[c]], dtype=np.uint8)
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[0x41:0x5B] = True
@@ -122,10 +127,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str = "doc_id", text: str = "text", per_domain: int = SAMPLE_PER_DOMAIN, steps: int = 120) -> Classifier:
     """Multinomial logistic regression on at most ``per_domain`` rows of ``labelled`` (doc_id,
-    domain) a domain, weighted to the domains' shares in all of it. Of repeated ids the first
+    domain) a domain, weighted to the domains' shares in all of it that is in ``docs``. Of repeated ids the first
     domain by name counts; null ids and other domains are left out. A domain without rows is
     never predicted above the least; without any rows all posteriors are equal."""
     clean = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    clean = clean.join(docs.select(F.col(doc_id).cast("long").alias("doc_id")), "doc_id", "left_semi")
     counts = {r["domain"]: r["count"] for r in clean.groupBy("domain").count().collect()}  # one row a domain
     picked = None
     for name in domains:
@@ -200,20 +206,22 @@ def predict(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: st
 
 
 def rate(domains: list[str], steps: list[list[float]]) -> Column:
-    """The rate after the given steps; step s moves it by -(posterior . s), never below 0."""
+    """The rate after the given steps; step s moves it by -(posterior . s), within 0 to MAX_RATE."""
     r = F.lit(1.0)
     for step in steps:
         moved = r
         for d, c in zip(domains, step, strict=True):
             moved = moved - F.col(f"p_{d}") * F.lit(float(c))
-        r = F.greatest(F.lit(0.0), moved)
+        r = F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), moved))
     return r
 
 
-def fit_rates(posteriors: DataFrame, domains: list[str], weights: dict[str, float], anchor: str | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
+def fit_rates(posteriors: DataFrame, domains: list[str], weights: dict[str, float], anchor: str | None = None, at_most: tuple[str, ...] = (), steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """The descent steps for which expected domain tokens meet ``weights`` (summing to 1) of the budget.
 
-    The budget is all tokens or, with ``anchor``, so many that this domain keeps its own.
+    The budget is all tokens or, with ``anchor``, so many that this domain keeps its own. The
+    weights of ``at_most`` are limits: of such a domain only tokens beyond its target count as
+    misfit. A target out of reach of the rates is met as closely as they can.
     """
     t, p = F.col("tokens"), [F.col(f"p_{d}") for d in domains]
     k = len(domains)
@@ -225,17 +233,25 @@ def fit_rates(posteriors: DataFrame, domains: list[str], weights: dict[str, floa
     share = np.array([weights[d] for d in domains]) / sum(weights.values())
     budget = total[domains.index(anchor)] / share[domains.index(anchor)] if anchor else total.sum()
     target = share * budget
-    inverse = np.linalg.pinv(gram)
+    limits = np.array([d in at_most for d in domains])
+    metric = np.linalg.inv(gram + np.eye(k) * RIDGE * np.trace(gram) / k)
     taken: list[list[float]] = []
     expected = total
-    while len(taken) < steps and np.abs(expected - target).max() > tolerance * budget:
-        taken.append((inverse @ (expected - target)).tolist())
+
+    def misfit() -> tuple[np.ndarray, np.ndarray]:
+        """Tokens too many or too few, none for a limit that is kept, and the domains that count."""
+        counts = ~limits | (expected > target)
+        return np.where(counts, expected - target, 0.0), counts
+
+    while len(taken) < steps and np.abs(misfit()[0]).max() > tolerance * budget:
+        off, counts = misfit()
+        taken.append(np.where(counts, metric @ off, 0.0).tolist())
         sums = posteriors.withColumn("r", rate(domains, taken)).agg(*[F.sum(t * F.col("r") * x).alias(f"s{i}") for i, x in enumerate(p)]).first()
         expected = np.array([sums[f"s{i}"] for i in range(k)])
     return taken
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str | None = None, at_most: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text", per_domain: int = SAMPLE_PER_DOMAIN) -> DataFrame:
     """One row per row of ``docs``: doc_id, tokens, ``p_<domain>``, rate and copies.
 
     ``copies`` is the rate rounded down or up by a hash of the id, right on average. Null or
@@ -244,7 +260,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor:
     give no rows.
     """
     domains = list(weights)
-    posteriors = cut(predict(docs, fit_classifier(docs, labelled, domains, doc_id, text), doc_id, text))
-    steps = fit_rates(posteriors, domains, weights, anchor)
+    posteriors = cut(predict(docs, fit_classifier(docs, labelled, domains, doc_id, text, per_domain), doc_id, text))
+    steps = fit_rates(posteriors, domains, weights, anchor, at_most)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     return posteriors.withColumn("rate", rate(domains, steps)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))

@@ -19,10 +19,12 @@ def test_rates_meet_targets(spark):
     assert (r >= 0).all()
     assert np.abs((p * (t * r)[:, None]).sum(axis=0) - np.array([0.6, 0.3, 0.1]) * total).max() < 1e-4 * total
     own = np.ones(500)  # the same descent with numpy
-    gram = np.linalg.pinv((p * t[:, None]).T @ p)
+    gram = (p * t[:, None]).T @ p
+    gram = np.linalg.inv(gram + np.eye(3) * mixing.RIDGE * np.trace(gram) / 3)
     for _ in steps:
-        own = np.maximum(0, own - p @ (gram @ ((p * (t * own)[:, None]).sum(axis=0) - np.array([0.6, 0.3, 0.1]) * total)))
+        own = np.clip(own - p @ (gram @ ((p * (t * own)[:, None]).sum(axis=0) - np.array([0.6, 0.3, 0.1]) * total)), 0, mixing.MAX_RATE)
     assert np.allclose(own, r)
+    assert mixing.fit_rates(df, ["a", "b", "c"], {"a": 0.01, "b": 0.49, "c": 0.5}, anchor="a", at_most=("b", "c")) == []
     anchored = mixing.fit_rates(df, ["a", "b", "c"], weights, anchor="a")
     kept = df.withColumn("r", mixing.rate(["a", "b", "c"], anchored)).agg(F.sum(F.col("tokens") * F.col("r") * F.col("p_a"))).first()[0]
     assert abs(kept - (p[:, 0] * t).sum()) < 1e-4 * total
