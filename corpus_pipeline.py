@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import mixing, packing, probminhash, quality, toxicity
 from lodestrata.llm.op2 import THRESHOLD
-from lodestrata.llm.op3 import WEIGHTS, domains_of
 from lodestrata.llm.session import shared_folder, table
 
+#: Target shares of tokens by language. English keeps its own, the others are repeated to follow.
+LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+#: Labelled rows of a language that its classifier is fitted on at most.
+PER_LANGUAGE = 300
 #: No SQL has the toxicity model, near-duplicate classes, fitted rates or tokens.
 ORACLE_SQL = None
 
@@ -45,8 +48,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says; rows without an id once."""
-    mixed = mixing.mix(docs, domains_of(table(spark, sf_dir, "labels")), WEIGHTS, anchor="clean")
+    """Each document as often as the rate of its languages says; rows without an id once.
+
+    The labelled table is the labelled documents with their languages; a document's own column
+    is not looked at, so one in two languages counts for both by its posterior.
+    """
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    labelled = docs.join(labels, "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
+    mixed = mixing.mix(docs, labelled, LANGUAGES, anchor="en", per_domain=PER_LANGUAGE)
     copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     rows = docs.join(copies, "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     return rows.where("_copies > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
