@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +63,61 @@ def surface_points(field: DataFrame, voxel: float = 0.01) -> DataFrame:
 def statistics(field: DataFrame, voxel: float = 0.01, truncation: float = 0.04) -> DataFrame:
     """One row: voxels, occupied ones (inside the surface), volume of these, mean weight, parameters."""
     return field.agg(F.count("*").alias("num_voxels"), F.count_if(F.col("sdf") <= 0).alias("inside"), (F.count_if(F.col("sdf") <= 0) * voxel**3).alias("volume"), F.avg("weight").alias("mean_weight")).withColumns({"voxel": F.lit(voxel), "truncation": F.lit(truncation)})
+
+
+#: The eight corners of a cube, and its six tetrahedra around the diagonal from corner 0 to 7.
+_CORNERS = [(i >> 2 & 1, i >> 1 & 1, i & 1) for i in range(8)]
+_TETRAHEDRA = [(0, a, a | b, 7) for a in (1, 2, 4) for b in (1, 2, 4) if a != b]
+TRIANGLES = "vx int, vy int, vz int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double"
+
+
+def mesh(field: DataFrame, voxel: float = 0.01) -> DataFrame:
+    """Triangles of the zero surface by marching tetrahedra, one row a triangle with its cube.
+
+    A cube has its corners at eight voxel centres; cubes without all eight give nothing. Every
+    voxel is sent to the cubes around it, so no cube needs more than its own rows.
+    """
+    around = F.explode(F.array(*[F.struct(*[(F.col(c) - o).alias(c) for c, o in zip(_CELL, corner, strict=True)], F.lit(k).alias("k")) for k, corner in enumerate(_CORNERS)]))
+    sent = field.select(around.alias("q"), "sdf").select("q.*", "sdf")
+    cubes = sent.groupBy(*_CELL).agg(*[F.max(F.when(F.col("k") == k, F.col("sdf"))).alias(f"s{k}") for k in range(8)])
+    full = cubes.where(F.greatest(*[f"s{k}" for k in range(8)]) > 0).where(F.least(*[f"s{k}" for k in range(8)]) <= 0).dropna()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        corners = np.array(_CORNERS, dtype=float)
+        for batch in batches:
+            base = batch[list(_CELL)].to_numpy()
+            values = batch[[f"s{k}" for k in range(8)]].to_numpy()
+            for tetra in _TETRAHEDRA:
+                v = values[:, tetra]
+                inside = v <= 0
+                for pattern in range(1, 15):
+                    low = [i for i in range(4) if pattern >> i & 1]
+                    high = [i for i in range(4) if i not in low]
+                    hit = np.flatnonzero((inside == [bool(pattern >> i & 1) for i in range(4)]).all(axis=1))
+                    if not len(hit):
+                        continue
+
+                    def cut(i: int, j: int, hit: np.ndarray = hit, v: np.ndarray = v, tetra: tuple = tetra) -> np.ndarray:
+                        share = (v[hit, i] / (v[hit, i] - v[hit, j]))[:, None]
+                        place = corners[tetra[i]] + share * (corners[tetra[j]] - corners[tetra[i]])
+                        return (base[hit] + 0.5 + place) * voxel
+
+                    if len(low) == 2:
+                        a, b, c, d = cut(low[0], high[0]), cut(low[0], high[1]), cut(low[1], high[1]), cut(low[1], high[0])
+                        made = [(a, b, c), (a, c, d)]
+                    else:
+                        one, others = (low[0], high) if len(low) == 1 else (high[0], low)
+                        made = [tuple(cut(one, o) for o in others)]
+                    for triangle in made:
+                        yield pd.DataFrame(np.hstack([base[hit], *triangle]), columns=[c.split()[0] for c in TRIANGLES.split(", ")]).astype({c: "int32" for c in _CELL})
+
+    return full.mapInPandas(run, TRIANGLES)
+
+
+def mesh_statistics(triangles: DataFrame) -> DataFrame:
+    """One row: triangles, area, and the volume of the box around them."""
+    e, f = ([F.col(f"{a}{k}") - F.col(f"{a}0") for a in "xyz"] for k in (1, 2))
+    cross = [e[1] * f[2] - e[2] * f[1], e[2] * f[0] - e[0] * f[2], e[0] * f[1] - e[1] * f[0]]
+    area = F.sqrt(sum((c * c for c in cross[1:]), cross[0] * cross[0])) / 2
+    sides = [F.max(F.greatest(*[f"{a}{k}" for k in range(3)])) - F.min(F.least(*[f"{a}{k}" for k in range(3)])) for a in "xyz"]
+    return triangles.agg(F.count("*").alias("num_triangles"), F.sum(area).alias("area"), (sides[0] * sides[1] * sides[2]).alias("box_volume"))

@@ -10,6 +10,7 @@ from lodestrata.operators import clouds as C
 from lodestrata.operators import masks as M
 from lodestrata.operators import relations as R
 from lodestrata.plans.common import Views, query, r6
+from lodestrata.plans.relations_queries import CLOUD_PAIRS, EDGES
 
 
 @query("large_masks", "SELECT scene_id, frame_idx, det_idx, area FROM v_detections WHERE area >= 100")
@@ -141,10 +142,13 @@ def cloud_overlap(v: Views) -> DataFrame:
     return C.overlap(v.points).select("a_id", "b_id", r6("ratio"))
 
 
-@query("overlap_relations")
+@query(
+    "overlap_relations",
+    f"WITH p AS (SELECT *, row_number() OVER () AS id FROM v_points), {_OVERLAP}, {CLOUD_PAIRS}, {EDGES} SELECT object_a_id, object_b_id, relation_type, round(confidence, 5) AS confidence FROM edges",
+)
 def overlap_relations(v: Views) -> DataFrame:
     found = R.compute_relations(v.objects, C.overlap(v.points))
-    return found.select("object_a_id", "object_b_id", "relation_type", r6("confidence"))
+    return found.select("object_a_id", "object_b_id", "relation_type", F.round("confidence", 5).alias("confidence"))
 
 
 @query("clean_clouds")

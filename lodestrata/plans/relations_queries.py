@@ -13,6 +13,10 @@ from lodestrata.plans.common import Views, query, r6
 _SIDES = ", ".join(f"{s}.{c} {o} {s}.{n} / 2 AS {s}{c[1]}{k}" for s in "ab" for c, n in (("cx", "w"), ("cy", "h"), ("cz", "d")) for o, k in (("-", 0), ("+", 1)))
 _SHARED = ", ".join(f"least(a{c}1, b{c}1) - greatest(a{c}0, b{c}0) AS s{c}" for c in "xyz")
 _COLUMNS = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in ("cx", "cy", "cz", "w", "h", "d", "label", "first_seen_frame", "last_seen_frame"))
+CLOUD_PAIRS = f"""pairs AS (
+  SELECT *, {_SHARED} FROM (
+    SELECT a.scene_id, a.object_id AS a_id, b.object_id AS b_id, {_COLUMNS}, {_SIDES}
+    FROM (SELECT DISTINCT least(a_id, b_id) AS x, greatest(a_id, b_id) AS y FROM overlap WHERE ratio >= 0.01) o JOIN v_objects a ON a.object_id = o.x JOIN v_objects b ON b.object_id = o.y))"""
 PAIRS = f"""pairs AS (
   SELECT *, {_SHARED} FROM (
     SELECT a.scene_id, a.object_id AS a_id, b.object_id AS b_id, {_COLUMNS}, {_SIDES}

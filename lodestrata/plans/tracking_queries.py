@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from lodestrata.functions import geometry as G
 from lodestrata.functions import language as L
 from lodestrata.operators import graph as GR
+from lodestrata.operators import masks as M
+from lodestrata.operators import projection as P
 from lodestrata.operators import providers, tsdf
+from lodestrata.operators import relations as R
 from lodestrata.operators import tracking as T
 from lodestrata.plans.common import Views, query, r6
-from lodestrata.plans.relations_queries import edges_of
+from lodestrata.plans.relations_queries import EDGES, PAIRS, edges_of
 from lodestrata.sources import scenes
 
 
@@ -136,17 +139,28 @@ def tsdf_surface(v: Views) -> DataFrame:
     return tsdf.surface_points(tsdf_field(v), 0.2).select(r6("x"), r6("y"), r6("z"))
 
 
-@query("objects_document")
+@query(
+    "objects_document",
+    """SELECT count(*) AS total, count(*) FILTER (num_observations >= 2 AND num_points >= 100) AS exported, min(object_id) FILTER (num_observations >= 2 AND num_points >= 100) AS first_id,
+ count(*) FILTER (status = 'active') AS active FROM v_objects""",
+)
 def objects_document(v: Views) -> DataFrame:
-    return scenes.objects_document(v.objects).select(F.length("value").alias("n_chars"), F.get_json_object("value", "$.metadata.exported_objects").alias("exported"))
+    paths = {"total": "$.metadata.total_objects", "exported": "$.metadata.exported_objects", "first_id": "$.objects[0].object_id", "active": "$.statistics.active_objects"}
+    return scenes.objects_document(v.objects).select(*[F.get_json_object("value", p).cast("long").alias(n) for n, p in paths.items()])
 
 
-@query("graph_document")
+@query(
+    "graph_document",
+    f"""WITH RECURSIVE {{head}}{PAIRS}, {EDGES}, sure AS (SELECT * FROM edges WHERE relation_type = 'on' AND confidence >= 0.5),
+ near AS (SELECT object_a_id AS u, object_b_id AS v FROM sure UNION SELECT object_b_id, object_a_id FROM sure),
+ reach(object_id, root) AS (SELECT object_id, object_id FROM v_objects UNION SELECT near.v, reach.root FROM reach JOIN near ON near.u = reach.object_id)
+ SELECT (SELECT count(*) FROM v_objects) AS num_nodes, (SELECT count(*) FROM sure) AS num_edges, count(DISTINCT least_root) AS num_components FROM (SELECT object_id, min(root) AS least_root FROM reach GROUP BY object_id)""",
+)
 def graph_document(v: Views) -> DataFrame:
     on = GR.get_relations(edges_of(v), relation_type="on", min_confidence=0.5)
     parts = GR.connected_components(v.objects, on.select(F.col("object_a_id").alias("a_id"), F.col("object_b_id").alias("b_id")))
     doc = scenes.graph_document(v.objects, on, parts)
-    return doc.select(*[F.get_json_object("value", f"$.{k}").alias(k) for k in ("num_nodes", "num_edges", "num_components")])
+    return doc.select(*[F.get_json_object("value", f"$.{k}").cast("long").alias(k) for k in ("num_nodes", "num_edges", "num_components")])
 
 
 @query("object_rows_as_json", "SELECT object_id, label FROM v_objects")
@@ -159,3 +173,40 @@ def object_rows_as_json(v: Views) -> DataFrame:
 def embedded_labels(v: Views) -> DataFrame:
     rows = providers.embed(v.objects.select("object_id", "label"), "hashed-words", "label")
     return providers.text_query(rows, "hashed-words", "table red widget", 5, 0.2).select("object_id", r6("similarity"))
+
+
+@query("tsdf_mesh")
+def tsdf_mesh(v: Views) -> DataFrame:
+    return tsdf.mesh_statistics(tsdf.mesh(tsdf_field(v), 0.2)).select("num_triangles", r6("area"), r6("box_volume"))
+
+
+@query("unmatched_tracks", "SELECT DISTINCT scene_id, object_id FROM v_detections d WHERE NOT EXISTS (SELECT 1 FROM v_detections e WHERE e.scene_id = d.scene_id AND e.object_id = d.object_id AND e.frame_idx BETWEEN 100 AND 150)")
+def unmatched_tracks(v: Views) -> DataFrame:
+    return T.unmatched(_observed(v), _observed(v).where("frame_idx BETWEEN 100 AND 150"))
+
+
+@query(
+    "example_pairs",
+    f"""WITH {PAIRS}, {EDGES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY relation_type ORDER BY object_a_id, object_b_id) AS rank FROM edges WHERE relation_type IN ('on', 'in', 'near'))
+SELECT relation_type, object_a_id, object_b_id, CAST(rank AS INT) AS rank FROM numbered WHERE rank <= 2""",
+)
+def example_pairs(v: Views) -> DataFrame:
+    rows = edges_of(v).withColumn("seq", F.lit(0)).withColumn("metadata", F.create_map(F.lit("method"), F.lit("visual")))
+    return GR.example_pairs(rows).select("relation_type", "object_a_id", "object_b_id", "rank")
+
+
+@query("visual_relations")
+def visual_relations(v: Views) -> DataFrame:
+    answers = v.objects.select(F.col("object_id").alias("a_id"), (F.col("object_id") + 1).alias("b_id"), F.when(F.col("object_id") % 3 > 0, F.lit("next to")).alias("answer"))
+    return R.relate(v.objects, "visual", answers=answers).select("object_a_id", "object_b_id", "relation_type", r6("confidence"), "method")
+
+
+@query("embedding_projection")
+def embedding_projection(v: Views) -> DataFrame:
+    rows = v.table("embeddings").select("vec_id", "embedding")
+    return P.principal(rows, "embedding", 2).select("vec_id", *[F.round(F.abs(F.col("projected")[k]), 4).alias(f"p{k}") for k in range(2)])
+
+
+@query("filled_masks")
+def filled_masks(v: Views) -> DataFrame:
+    return M.fill_holes(v.mask_pixels, 16, 16, 10).groupBy("frame_idx", "det_idx").agg(F.count("*").alias("area"))

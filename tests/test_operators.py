@@ -235,3 +235,13 @@ def test_methods(spark):
         relate(df, "other")
     with pytest.raises(ValueError):
         relate(df, "geometric")
+
+
+def test_mesh_of_a_plane(spark):
+    rows = [(x, y, z, (z - 3.25) / 4.0, 1.0) for x in range(6) for y in range(6) for z in range(7)]
+    field = spark.createDataFrame(rows, "vx int, vy int, vz int, sdf double, weight double")
+    found = tsdf.mesh_statistics(tsdf.mesh(field, 0.5)).first()
+    assert found.area == pytest.approx((5 * 0.5) ** 2) and found.box_volume == pytest.approx(0)
+    ball = [(x, y, z, ((x - 8) ** 2 + (y - 8) ** 2 + (z - 8) ** 2) ** 0.5 - 6.3, 1.0) for x in range(17) for y in range(17) for z in range(17)]
+    area = tsdf.mesh_statistics(tsdf.mesh(spark.createDataFrame(ball, field.schema), 1.0)).first().area
+    assert area == pytest.approx(4 * np.pi * 6.3**2, rel=0.05)
