@@ -57,7 +57,7 @@ def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 def poses(spark: SparkSession, path: str) -> DataFrame:
     """(position, pose) by line; a line without sixteen numbers is an error."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("position", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("position", "line"))
     numbers = F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.try_cast("double"))
     made = lines.withColumn("pose", numbers)
     bad = (F.size("pose") != 16) | F.exists("pose", lambda x: x.isNull())
