@@ -2,20 +2,24 @@
 
 Documents of one group (here: equal texts) are linked. They are alike, so the state is a
 table (group, shard, rows) rather than a label a document: a group of millions is at most as
-many rows as there are shards. Each round, every group proposes to move its rows to the shard
-where most of its neighbours are, joins against the room of each shard, and moves as its
-quota allows, the best gains first. Rows without links cost no cut wherever they are and
-fill all shards to even counts at the end, so counts differ by one at most (law "rows").
+many rows as there are shards. Groups of one size are alike too, so labels are given to sizes:
+each group goes whole where the room of the shards allows it, then split ones move into one
+shard, by room or by matched swaps with another shard, until no move makes one whole. Rows
+without links cost no cut wherever they are and fill all shards to even counts at the end, so
+counts differ by one at most (law "rows").
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.session import cut
 
-SHARDS, ROUNDS = 24, 6
+SHARDS = 24
 #: Rows that one rank task is meant to have.
 RANK_ROWS = 50_000
 
@@ -38,79 +42,125 @@ def _numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, n:
     return df.withColumn(out, (F.col("_rank") + F.col("_before")).cast("long")).drop("_bin", "_rank", "_before")
 
 
-def propagate(groups: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def placed(sizes: dict[int, int], share: list[int]) -> dict[int, list[tuple[int, list[tuple[int, int]]]]]:
+    """Where groups go: for each size, (groups, their pieces (shard, rows)) in turn.
+
+    ``sizes``: groups by their number of rows; ``share``: rows a shard takes. Sizes come in
+    falling order and fill the shards of least room that hold them whole. A group that no shard
+    holds fills the shard of most room, and what is left of it comes again as a smaller size.
+    Then split groups move into one shard, by room or by swapping a group of another shard
+    against one of it, until no such move is left.
+    """
+    room = list(share)
+    whole: list[dict[int, int]] = [{} for _ in share]
+    split: list[tuple[int, list[tuple[int, int]]]] = []
+    queue = [(-n, groups, n, ()) for n, groups in sizes.items()]
+    heapq.heapify(queue)
+    while queue:
+        left, groups, n, pieces = heapq.heappop(queue)
+        left = -left
+        for j in sorted((j for j in range(len(room)) if room[j] >= left), key=lambda j: (room[j], j)):
+            took = min(groups, room[j] // left)
+            room[j] -= took * left
+            groups -= took
+            if pieces and took:
+                split.append((n, [*pieces, (j, left)]))
+            elif took:
+                whole[j][n] = whole[j].get(n, 0) + took
+            if not groups:
+                break
+        if groups:
+            j = max(range(len(room)), key=lambda j: (room[j], -j))
+            part, room[j] = room[j], 0
+            heapq.heappush(queue, (part - left, 1, n, (*pieces, (j, part))))
+            if groups > 1:
+                heapq.heappush(queue, (-left, groups - 1, n, pieces))
+    while _unsplit(room, whole, split):
+        pass
+    out: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {n: [] for n in sizes}
+    for j, held in enumerate(whole):
+        for n, groups in held.items():
+            if groups:
+                out[n].append((groups, [(j, n)]))
+    for n, pieces in split:
+        out[n].append((1, pieces))
+    return out
+
+
+def _unsplit(room: list[int], whole: list[dict[int, int]], split: list[tuple[int, list[tuple[int, int]]]]) -> bool:
+    """Makes one split group whole if room or one swap of whole groups allows it.
+
+    Pieces of a group that only few shards hold stay; there are fewer split groups than shards
+    and pieces, and as few sizes as the root of the rows allows.
+    """
+    for at, (n, pieces) in enumerate(split):
+        freed = list(room)
+        for j, part in pieces:
+            freed[j] += part
+        for j in sorted(range(len(room)), key=lambda j: -freed[j]):
+            need = n - freed[j]
+            if need > 0:
+                swap = _swap(need, j, freed, whole)
+                if swap is None:
+                    continue
+                gone, i, come = swap
+                for shard_, size, step in ((j, gone, -1), (i, gone, 1), (i, come, -1), (j, come, 1)):
+                    if size:
+                        whole[shard_][size] = whole[shard_].get(size, 0) + step
+                freed[j] += gone - come
+                freed[i] -= gone - come
+            freed[j] -= n
+            room[:] = freed
+            whole[j][n] = whole[j].get(n, 0) + 1
+            del split[at]
+            return True
+    return False
+
+
+def _swap(need: int, j: int, room: list[int], whole: list[dict[int, int]]) -> tuple[int, int, int] | None:
+    """(size that leaves shard j, shard it goes to, size that comes for it or 0) that gives
+    ``need`` rows of room in j and has room where it goes."""
+    for i in range(len(room)):
+        if i == j or room[i] < need:
+            continue
+        come = sorted([0, *(n for n, groups in whole[i].items() if groups)])
+        for gone in (n for n, groups in whole[j].items() if groups and n >= need):
+            # the largest that may come for it; a smaller one would only move more rows
+            k = bisect.bisect_right(come, gone - need) - 1
+            if k >= 0 and gone - come[k] <= room[i]:
+                return gone, i, come[k]
+    return None
+
+
+def propagate(groups: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
     """(group, shard, n) from (group, n): where the rows of each linked group go.
 
     ``total`` is the number of all rows, linked or not; shard j gets total // shards of them,
-    one more for the first total % shards. A group starts with its rows dealt evenly from a
-    shard of its own choice, limited to what the shards hold.
+    one more for the first total % shards. Groups of one size are alike: where they go is
+    decided on their numbers, one row a size, and each takes its turn in a hash order.
     """
-    linked = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    if not linked:
+    # sizes differ, so there are at most sqrt(2 * total) of them
+    sizes = {r["n"]: r["count"] for r in groups.groupBy("n").count().collect()}
+    if not sizes:
         return groups.select("group", F.lit(0).alias("shard"), "n").where("false")
-    share = [total // shards + (j < total % shards) for j in range(shards)]
-    # rows are dealt in turn: group after group takes the next places of 0, 1, ..., shards - 1, 0, ...
-    spread = _starts(groups)
-    place = F.explode(F.sequence(F.lit(0), F.least(F.lit(shards), F.col("n")).cast("int") - 1))
-    state = spread.select("group", "n", "first", place.alias("k")).select(
-        "group", F.pmod(F.col("first") + F.col("k"), F.lit(shards)).cast("int").alias("shard"), F.expr(f"(n - k + {shards} - 1) div {shards}").alias("n")
-    )
-    state = cut(state)
-    for _ in range(rounds):
-        held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
-        room = [share[j] - held.get(j, 0) for j in range(shards)]
-        room_of = F.array(*[F.lit(r).cast("long") for r in room])
-        own = Window.partitionBy("group")
-        rank = F.struct("n", F.xxhash64("group", "shard"))
-        # the fullest shard of the group that still has room, or none
-        seen = state.withColumn("room", F.element_at(room_of, F.col("shard") + 1))
-        seen = seen.withColumn("best", F.max(F.when(F.col("room") > 0, F.struct(rank.alias("rank"), F.col("shard").alias("to")))).over(own))
-        asks = seen.where((F.col("best.to") != F.col("shard")) & (rank < F.col("best.rank"))).select(
-            "group", "shard", "n", F.col("best.to").alias("to"), (F.col("best.rank.n") - F.col("n")).alias("gain")
-        )
-        asks = cut(asks)
-        sums = asks.groupBy("to").agg(F.sum("n").alias("n"), F.count("*").alias("asks")).collect()  # one row a shard
-        if not sums:
-            break
-        wanted = {r["to"]: r["n"] for r in sums}
-        bins = max(1, -(-sum(r["asks"] for r in sums) // RANK_ROWS))
-        asks = asks.withColumn("bin", F.pmod(F.xxhash64("group"), F.lit(bins)))
-        # every bin of asks to a shard has a part of its room in proportion to what it asks for
-        part = asks.groupBy("to", "bin").agg(F.sum("n").alias("asked"))
-        room_to = F.element_at(room_of, F.col("to") + 1)
-        want_to = F.element_at(F.array(*[F.lit(wanted.get(j, 1)).cast("long") for j in range(shards)]), F.col("to") + 1)
-        part = part.withColumn("quota", F.when(want_to <= room_to, F.col("asked")).otherwise(F.floor(F.col("asked") * (room_to / want_to)))).drop("asked")
-        order = Window.partitionBy("to", "bin").orderBy(F.desc("gain"), "group", "shard").rowsBetween(Window.unboundedPreceding, -1)
-        moves = (
-            asks.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-            .join(part, ["to", "bin"])
-            .withColumn("moved", F.least(F.col("n"), F.col("quota") - F.col("before")))
-            .where(F.col("moved") > 0)
-        )
-        moves = cut(moves.select("group", "shard", "to", F.col("moved").cast("long").alias("moved")))
-        if moves.isEmpty():
-            break
-        gone = moves.select("group", "shard", (-F.col("moved")).alias("n"))
-        come = moves.select("group", F.col("to").alias("shard"), F.col("moved").alias("n"))
-        state = state.unionByName(gone).unionByName(come).groupBy("group", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
-        state = cut(state)
-    return state
-
-
-def _starts(groups: DataFrame) -> DataFrame:
-    """``groups`` with ``first``, the number of linked rows before each group, modulo nothing."""
-    bins = max(1, -(-groups.count() // RANK_ROWS))
-    binned = groups.withColumn("bin", F.pmod(F.xxhash64("group"), F.lit(bins)).cast("int"))
-    before = Window.partitionBy("bin").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    all_bins = binned.groupBy("bin").agg(F.sum("n").alias("n"))
-    offsets, at = {}, 0
-    for r in sorted(all_bins.collect(), key=lambda r: r["bin"]):  # one row for RANK_ROWS groups
-        offsets[r["bin"]], at = at, at + r["n"]
-    offset = F.element_at(F.array(*[F.lit(offsets.get(b, 0)).cast("long") for b in range(bins)]), F.col("bin") + 1)
-    return binned.select("group", "n", (offset + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("first"))
-
-
-def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    plan = placed(sizes, [total // shards + (j < total % shards) for j in range(shards)])
+    turns = []
+    for n, runs in plan.items():
+        low = 0
+        for count, pieces in runs:
+            turns.append((n, low, low + count, pieces))
+            low += count
+    spark = groups.sparkSession
+    turns = spark.createDataFrame(turns, "n long, low long, high long, pieces array<struct<shard: int, rows: long>>")
+    turns = turns.groupBy("n").agg(F.collect_list(F.struct("low", "high", "pieces")).alias("runs"))  # one a shard and a split group at most
+    ranked = _numbered(groups, ["n"], [F.xxhash64("group"), F.col("group")], "rank", sum(sizes.values()))
+    ranked = ranked.join(F.broadcast(turns), "n")  # one row a size
+    mine = F.filter("runs", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") < r["high"]))[0]["pieces"]
+    pieces = ranked.select("group", F.explode(mine).alias("p"))
+    return cut(pieces.groupBy("group", F.col("p.shard").alias("shard")).agg(F.sum("p.rows").alias("n")))
+
+
+def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, size (UTF-8 bytes + 8), text_crc32, group, shard, slot.
 
     Rows of equal text are linked; null texts (crc32 of nothing) are not linked to anything.
@@ -128,7 +178,7 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     total = rows.count()
     counted = rows.where(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     groups = cut(counted)
-    state = propagate(groups, total, shards, rounds)
+    state = propagate(groups, total, shards)
 
     # linked rows: the rank in the group falls into the range of one of the group's shards
     ranges = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -50,3 +50,42 @@ def test_all_rows_linked(spark):
 def test_small_odd_tables(spark):
     for rows in ([], [(1, "a")], [(None, "a"), (None, "a"), (3, None)], [(5, "x")] * 50):
         check(rows, run(spark, rows, 5), 5)
+
+
+def split_groups(rows, got):
+    text, shards = dict(rows), {}
+    for r in got:
+        shards.setdefault(text[r.doc_id], set()).add(r.shard)
+    return {t: len(s) for t, s in shards.items() if len(s) > 1}
+
+
+def test_all_pairs_stay_together(spark):
+    rows = [(k, f"t{k % 240}") for k in range(480)]
+    got = run(spark, rows)
+    check(rows, got)
+    assert split_groups(rows, got) == {}
+
+
+def test_a_third_in_one_group(spark):
+    rows = [(k, "hot" if k < 800 else f"t{k % 300}" if k < 1400 else f"single {k}") for k in range(2400)]
+    got = run(spark, rows)
+    check(rows, got)
+    assert split_groups(rows, got) == {"hot": 8}
+
+
+def test_swaps_make_groups_whole():
+    plan = sharding.placed({4: 2, 3: 4}, [10, 10])
+    assert all(len(pieces) == 1 for runs in plan.values() for _, pieces in runs)
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = Counter(rng.randint(2, 30) for _ in range(rng.randint(1, 60)))
+        total = sum(n * c for n, c in sizes.items()) + rng.randint(0, 20)
+        share = [total // 7 + (j < total % 7) for j in range(7)]
+        plan = sharding.placed(sizes, share)
+        held = Counter()
+        for n, runs in plan.items():
+            assert sum(c for c, _ in runs) == sizes[n] and all(sum(r for _, r in p) == n for _, p in runs)
+            for c, pieces in runs:
+                for j, r in pieces:
+                    held[j] += c * r
+        assert all(held[j] <= share[j] for j in held)
