@@ -11,6 +11,7 @@ step is one distributed sum over (tokens, posterior, rate), and nothing grows wi
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,18 +25,23 @@ from lodestrata.llm import textvec
 from lodestrata.llm.session import cut
 from lodestrata.llm.toxicity import word_features
 
+_log = logging.getLogger(__name__)
 #: Labelled rows of each domain that are fitted on at most: the first by a hash of their id.
 SAMPLE_PER_DOMAIN = 1500
 #: Words and prefixes seen in fewer documents of a domain, or not so many times likelier there
 #: than in the others, are no features.
 MIN_DOCS, MIN_RATIO = 4, 6.0
 _MAP_BITS = 22
-STEPS, TOLERANCE = 40, 1e-5
-#: No document is taken more often than this.
-MAX_RATE = 2.0
-#: Added to the Gram matrix, as a share of its mean diagonal: a domain that hardly occurs in the
-#: posteriors does not steer the others.
-RIDGE = 1e-3
+STEPS, TOLERANCE = 100, 1e-5
+#: After so many steps the metric is that of the rows whose rate may move, and the best of some
+#: halvings of the step is taken: where many rates are 0 the whole table's metric is too slow.
+PLAIN_STEPS = 10
+#: Rates have no upper bound: a target that non-negative rates can meet is met.
+MAX_RATE = float("inf")
+#: Added to the Gram matrix, as a share of its mean diagonal, so that it has an inverse.
+RIDGE = 1e-9
+#: Steps after which the rates so far are kept as a column.
+_HELD_STEPS = 20
 _MARKS = np.array([c for c in range(33, 127) if not textvec.LETTER[c]], dtype=np.uint8)
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[0x41:0x5B] = True
@@ -205,23 +211,37 @@ def predict(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: st
     return rows.mapInArrow(_predict(model), ", ".join(["doc_id long", "tokens long", *[f"p_{d} double" for d in model.domains]]))
 
 
-def rate(domains: list[str], steps: list[list[float]]) -> Column:
-    """The rate after the given steps; step s moves it by -(posterior . s), within 0 to MAX_RATE."""
-    r = F.lit(1.0)
+def rate(domains: list[str], steps: list[list[float]], start: Column | None = None) -> Column:
+    """The rate after the given steps; step s moves it by -(posterior . s), not below 0."""
+    r = F.lit(1.0) if start is None else start
+    if len(steps) > _HELD_STEPS:  # too many for one nested expression
+        listed = F.array(*[F.array(*[F.lit(float(c)) for c in step]) for step in steps])
+
+        def moved_by(r: Column, step: Column) -> Column:
+            for i, d in enumerate(domains):
+                r = r - F.col(f"p_{d}") * step[i]
+            return F.greatest(F.lit(0.0), r)
+
+        return F.aggregate(listed, r, moved_by)
     for step in steps:
         moved = r
         for d, c in zip(domains, step, strict=True):
             moved = moved - F.col(f"p_{d}") * F.lit(float(c))
-        r = F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), moved))
+        r = F.greatest(F.lit(0.0), moved)
     return r
 
 
+def _pull(domains: list[str], step: np.ndarray) -> Column:
+    return sum((F.col(f"p_{d}") * F.lit(float(c)) for d, c in zip(domains, step, strict=True)), F.lit(0.0))
+
+
 def fit_rates(posteriors: DataFrame, domains: list[str], weights: dict[str, float], anchor: str | None = None, at_most: tuple[str, ...] = (), steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """The descent steps for which expected domain tokens meet ``weights`` (summing to 1) of the budget.
 
     The budget is all tokens or, with ``anchor``, so many that this domain keeps its own. The
     weights of ``at_most`` are limits: of such a domain only tokens beyond its target count as
-    misfit. A target out of reach of the rates is met as closely as they can.
+    misfit. A target out of reach of the rates is met as closely as they can; what is missed
+    after the last step is logged and ``totals`` gives it for each domain.
     """
     t, p = F.col("tokens"), [F.col(f"p_{d}") for d in domains]
     k = len(domains)
@@ -230,9 +250,7 @@ def fit_rates(posteriors: DataFrame, domains: list[str], weights: dict[str, floa
     total = np.array([gram_row[f"s{i}"] for i in range(k)])
     if not total.sum():
         return []
-    share = np.array([weights[d] for d in domains]) / sum(weights.values())
-    budget = total[domains.index(anchor)] / share[domains.index(anchor)] if anchor else total.sum()
-    target = share * budget
+    target, budget = _targets(total, domains, weights, anchor)
     limits = np.array([d in at_most for d in domains])
     metric = np.linalg.inv(gram + np.eye(k) * RIDGE * np.trace(gram) / k)
     taken: list[list[float]] = []
@@ -243,14 +261,48 @@ def fit_rates(posteriors: DataFrame, domains: list[str], weights: dict[str, floa
         counts = ~limits | (expected > target)
         return np.where(counts, expected - target, 0.0), counts
 
+    held, since = posteriors, 0
     while len(taken) < steps and np.abs(misfit()[0]).max() > tolerance * budget:
         off, counts = misfit()
-        taken.append(np.where(counts, metric @ off, 0.0).tolist())
-        sums = posteriors.withColumn("r", rate(domains, taken)).agg(*[F.sum(t * F.col("r") * x).alias(f"s{i}") for i, x in enumerate(p)]).first()
-        expected = np.array([sums[f"s{i}"] for i in range(k)])
+        step, shares = np.where(counts, metric @ off, 0.0), [1.0]
+        if len(taken) - since >= (1 if len(taken) > PLAIN_STEPS else _HELD_STEPS):
+            held, since = cut(held.withColumn("_r", rate(domains, taken[since:], F.col("_r") if since else None))), len(taken)
+        now = held.withColumn("r", rate(domains, taken[since:], F.col("_r") if since else None))
+        if len(taken) >= PLAIN_STEPS:
+            free = (F.col("r") > 0) | (_pull(domains, step) < 0)
+            row = now.where(free).agg(*[F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
+            near = np.array([[row[f"g{i}_{j}"] for j in range(k)] for i in range(k)])
+            step = np.where(counts, np.linalg.inv(near + np.eye(k) * RIDGE * max(np.trace(near), np.trace(gram) * RIDGE) / k) @ off, 0.0)
+            shares = [0.5**n for n in range(8)]
+        rates = [F.greatest(F.lit(0.0), F.col("r") - _pull(domains, step * a)) for a in shares]
+        sums = now.agg(*[F.sum(t * r * x).alias(f"s{n}_{i}") for n, r in enumerate(rates) for i, x in enumerate(p)]).first()
+        tried = []
+        for n, a in enumerate(shares):
+            expected = np.array([sums[f"s{n}_{i}"] for i in range(k)])
+            tried.append((np.abs(misfit()[0]).max(), n, (step * a).tolist(), expected))
+        _, _, step, expected = min(tried, key=lambda x: x[:2])
+        taken.append(step)
+    if np.abs(misfit()[0]).max() > tolerance * budget:
+        _log.warning("after %d steps expected tokens miss targets: %s", len(taken), {d: (float(e), float(g)) for d, e, g in zip(domains, expected, target, strict=True)})
     return taken
 
 
+def _targets(total: np.ndarray, domains: list[str], weights: dict[str, float], anchor: str | None) -> tuple[np.ndarray, float]:
+    """The tokens that each domain is to have, and all of them."""
+    share = np.array([weights[d] for d in domains]) / sum(weights.values())
+    budget = total[domains.index(anchor)] / share[domains.index(anchor)] if anchor else total.sum()
+    return share * budget, budget
+
+
+def totals(mixed: DataFrame, weights: dict[str, float], anchor: str | None = None) -> list[tuple[str, float, float, float]]:
+    """(domain, tokens before, expected tokens at the rates, target) of each domain of ``mix``'s rows."""
+    domains = list(weights)
+    sums = mixed.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p_{d}") * x), F.lit(0.0)).alias(f"{n}{i}") for i, d in enumerate(domains) for n, x in (("t", F.lit(1.0)), ("e", F.col("rate")))]).first()
+    total = np.array([sums[f"t{i}"] for i in range(len(domains))])
+    target = _targets(total, domains, weights, anchor)[0]
+    return [(d, float(total[i]), float(sums[f"e{i}"]), float(target[i])) for i, d in enumerate(domains)]
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str | None = None, at_most: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text", per_domain: int = SAMPLE_PER_DOMAIN) -> DataFrame:
     """One row per row of ``docs``: doc_id, tokens, ``p_<domain>``, rate and copies.
 

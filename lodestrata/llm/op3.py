@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.mixing import mix
 from lodestrata.llm.session import table
 
-#: Target shares of tokens: documents that look low or toxic are mixed down, not removed.
+#: Target shares of tokens: documents that look low or toxic are mixed to these, not removed.
 WEIGHTS = {"clean": 0.95, "low": 0.03, "toxic": 0.02}
-#: These two are limits: a corpus that has less of them is not made to have more.
-AT_MOST = ("low", "toxic")
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -21,7 +19,7 @@ def domains_of(labels: DataFrame) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), WEIGHTS, anchor="clean", at_most=AT_MOST)
+    return mix(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), WEIGHTS, anchor="clean")
 
 
 QUERIES = {"op3_mixing": op3_mixing}

@@ -44,3 +44,17 @@ def test_classifier_and_copies(spark):
         assert abs(got[k].copies - got[k].rate) < 1 and got[k].tokens == 20
     assert got[500].tokens == 0 and got[500].p_x == got[501].p_x
     assert mixing.mix(d.where("false"), labelled, {"x": 0.5, "y": 0.5}).count() == 0
+
+
+def test_rare_domains_meet_their_targets(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([3.0, 0.03, 0.03], 600)
+    df = spark.createDataFrame([(i, 100, *map(float, p[i])) for i in range(600)], "doc_id long, tokens long, p_a double, p_b double, p_c double")
+    weights = {"a": 0.6, "b": 0.2, "c": 0.2}
+    steps = mixing.fit_rates(df, list(weights), weights)
+    mixed = df.withColumn("rate", mixing.rate(list(weights), steps))
+    assert mixed.agg(F.min("rate")).first()[0] >= 0 and mixed.agg(F.max("rate")).first()[0] > 2
+    found = mixing.totals(mixed, weights)
+    assert found[2][1] < 0.05 * 60_000
+    for domain, _, expected, target in found:
+        assert abs(expected - target) < 1e-4 * 60_000, (domain, found, len(steps))
