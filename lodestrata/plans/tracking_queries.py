@@ -127,7 +127,7 @@ def parsed_answers(v: Views) -> DataFrame:
 
 @query("tsdf_field")
 def tsdf_field(v: Views) -> DataFrame:
-    depth = v.depth.where("z > 0 AND z < 2")
+    depth = v.depth
     unit = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
     frames = depth.select("frame_idx").distinct().select("frame_idx", *[F.lit(x).alias(n) for n, x in (("fx", 6.0), ("fy", 6.0), ("cx", 4.5), ("cy", 4.5))], unit.alias("pose"))
     field = tsdf.integrate(depth, frames, 0.2, 0.4, 10.0, 16, 16)

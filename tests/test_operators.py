@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import captions, clouds, graph, masks, tracking, tsdf
 from lodestrata.operators.relations import relate
+from lodestrata.plans import tracking_queries
+from lodestrata.plans.common import Views
 from lodestrata.sources import png, rgbd, scenes
 from lodestrata.streaming.tracker import track_stream
 
@@ -245,3 +247,11 @@ def test_mesh_of_a_plane(spark):
     ball = [(x, y, z, ((x - 8) ** 2 + (y - 8) ** 2 + (z - 8) ** 2) ** 0.5 - 6.3, 1.0) for x in range(17) for y in range(17) for z in range(17)]
     area = tsdf.mesh_statistics(tsdf.mesh(spark.createDataFrame(ball, field.schema), 1.0)).first().area
     assert area == pytest.approx(4 * np.pi * 6.3**2, rel=0.05)
+
+
+def test_tsdf_field_takes_all_depth(spark):
+    v = Views(spark, "/root/testdata/sf0.001")
+    near = v.depth.where("z < 2").select("frame_idx", "row", "col").distinct().count()
+    assert near < v.depth.where("z > 0 AND z < 10").count()
+    far = tracking_queries.tsdf_field(v).agg(F.max("vz")).first()[0]
+    assert far * 0.2 > 4
