@@ -54,11 +54,16 @@ def seen_at_frame(v: Views) -> DataFrame:
     return T.seen_at(_observed(v), 100).select("scene_id", "object_id", "frame_idx", "det_idx")
 
 
+def embedded(v: Views) -> DataFrame:
+    """Detections with the embedding of their user, the user's number modulo the table's count."""
+    e = v.table("embeddings").select(F.col("vec_id").alias("_u"), "embedding")
+    d = _observed(v).withColumn("_u", F.pmod(F.col("object_id"), F.lit(e.count())))
+    return d.join(e.hint("merge"), "_u", "left")
+
+
 def tracked(v: Views, **options: object) -> DataFrame:
     """Tracks of detections with embeddings by user, so that objects can be found again."""
-    e = v.table("embeddings").select(F.col("vec_id").alias("_u"), "embedding")
-    d = _observed(v).withColumn("_u", F.col("object_id") % 100).join(F.broadcast(e.where("_u < 100")), "_u", "left")  # 100 rows
-    return T.track(d, _observed(v), T.TrackerConfig(**options))
+    return T.track(embedded(v), _observed(v), T.TrackerConfig(**options))
 
 
 @query("tracker_snapshot")

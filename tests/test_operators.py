@@ -255,3 +255,12 @@ def test_tsdf_field_takes_all_depth(spark):
     assert near < v.depth.where("z > 0 AND z < 10").count()
     far = tracking_queries.tsdf_field(v).agg(F.max("vz")).first()[0]
     assert far * 0.2 > 4
+
+
+def test_tracker_reads_all_embeddings(spark):
+    v = Views(spark, "/root/testdata/sf0.01")
+    n = v.table("embeddings").count()
+    rows = tracking_queries.embedded(v)
+    assert rows.count() == v.detections.count() and rows.where("embedding IS NULL").isEmpty()
+    users = v.detections.select((F.col("object_id") % n).alias("u")).distinct().count()
+    assert rows.select("embedding").distinct().count() == users
