@@ -10,7 +10,7 @@ from lodestrata.llm.session import table
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", ids_crc32(pieces["ids"]).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

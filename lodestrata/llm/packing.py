@@ -93,18 +93,22 @@ def _pack_partition(vocabulary: str, capacity: int, end_id: int):
 def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = SEQUENCE_TOKENS, group_docs: int = GROUP_DOCS, end_id: int = END_ID) -> DataFrame:
     """Pack every document of ``docs``; one row per piece with its token ids.
 
-    ``vocabulary`` is a file of byte-level BPE ranks. Columns: doc_id, start (ids of the
-    document before the piece), length, doc_tokens (with the closing ``end_id``),
+    ``vocabulary`` is a byte-level BPE file of the ``tokenizers`` library. Columns: doc_id, start
+    (ids of the document before the piece), length, doc_tokens (with the closing ``end_id``),
     sequence_id, offset in the sequence, ids (little-endian unsigned 32-bit).
 
-    Groups are dealt by a hash of id and text, so a hot source, repeated ids or sorted input
-    don't make one group large. Null or empty text: one piece with ``end_id`` alone. Null
-    id: packed like any other and kept null. Repeated rows: each is packed. Ties in size: by
-    id, then start. Empty table: no rows. Other columns are not read.
+    Groups are dealt by a hash of id and place in the table, so a hot source, repeated ids,
+    repeated rows or sorted input don't make one group large. Places are the same whenever a
+    lost task reads its part of a stored table or checkpoint again; give one of these. Null
+    or empty text: one piece with ``end_id`` alone. Null id: packed like any other and kept
+    null. Repeated rows: each is packed. Very long text: its full pieces leave at once, memory
+    follows the longest text. Ties in size: by id, then start. Empty table: no rows. Ids that are no whole numbers
+    raise an error (ANSI). Other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     groups = max(1, math.ceil(rows.count() / group_docs))
-    dealt = rows.repartition(groups, F.xxhash64("doc_id", "text"))
+    dealt = rows.withColumn("_place", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    dealt = dealt.repartition(groups, "_place").drop("_place")
     return dealt.mapInArrow(_pack_partition(vocabulary, capacity, end_id), PIECES)
 
 

@@ -8,18 +8,18 @@ from tokenizers import Tokenizer
 from lodestrata.llm import packing
 from lodestrata.llm.bpe import Encoder
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def reference():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(RANKS)
 
 
 def odd_texts():
     rng = random.Random(3)
     texts = ["don't it's we'll I'd 'sx ''s a 's x'Re they've\n'll  'm", "  a  \n b\t\tc \n", "", None, "é 　x 12a3 ½!?  ", "<|endoftext|> x", "日本語 です。😀😀 a"]
+    texts += ["a<|endoftext|>", "<|endoftext|><|endoftext|>", "don<|endoftext|>'t  <|endoftext|>  x<|endoftext", "|>", "<|endoftext", "|><|endof"]
+    texts += ["<|endoftext|>".join("".join(rng.choice(" '\nsé1<|>") for _ in range(rng.randint(0, 9))) for _ in range(4)) for _ in range(80)]
     return texts + ["".join(rng.choice(" \n\t'stmdrevl1a!é .") for _ in range(rng.randint(0, 60))) for _ in range(300)]
 
 
@@ -32,6 +32,49 @@ def test_ids_are_the_library_s():
         assert got == [x.ids for x in reference().encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_one_hash_are_told_apart():
+    a, b = thue_morse(2048, "ab"), thue_morse(2048, "ba")
+    encoder, want = Encoder(RANKS), reference()
+    for texts in ([a], [b], [a, b]):
+        got = [ids[offsets[i] : offsets[i + 1]].tolist() for first, end, ids, offsets in encoder.batches(pa.array(texts)) for i in range(end - first)]
+        assert got == [x.ids for x in want.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_small_table_that_is_emptied(monkeypatch):
+    from lodestrata.llm import bpe
+
+    for name, size in (("TABLE_SLOTS", 64), ("POOL_IDS", 300), ("POOL_BYTES", 500)):
+        monkeypatch.setattr(bpe, name, size)
+    encoder, want, texts = bpe.Encoder(RANKS), reference(), odd_texts()
+    for at in range(0, len(texts), 7):
+        part = texts[at : at + 7]
+        got = [ids[offsets[i] : offsets[i + 1]].tolist() for first, end, ids, offsets in encoder.batches(pa.array(part)) for i in range(end - first)]
+        assert got == [x.ids for x in want.encode_batch([t or "" for t in part], add_special_tokens=False)]
+
+
+def test_ids_of_a_table_are_the_library_s(spark):
+    import zlib
+
+    from lodestrata.llm.op5 import op5_packing
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
+    want = {i: np.array([*e.ids, 1], dtype="<u4") for i, e in zip(docs.doc_id, reference().encode_batch([t or "" for t in docs.text], add_special_tokens=False))}
+    got = op5_packing(spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.length for r in got) == sum(map(len, want.values()))
+    for r in got:
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
+def test_repeated_rows_are_spread(spark):
+    df = spark.range(0, 400, 1, 4).selectExpr("7L as doc_id", "'same words' as text", "'x' as ids", "1 as sequence_id")
+    got = packing.pack(df, RANKS, group_docs=100).collect()
+    assert len(got) == 400 and len({r.sequence_id >> 32 for r in got}) > 1
+
+
 def test_first_fit_decreasing_against_brute_force():
     rng = random.Random(7)
     for _ in range(50):
