@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.htmlblocks import Block, blocks
+from lodestrata.llm.htmlblocks import Block, Frame, blocks
 
 #: Labelled pages that are fitted on (made by ``labelled_pages``).
 TRAINING_PAGES = 600
-_WORDS = ("cookie", "©", "copyright", "subscribe", "newsletter", "advertisement", "sponsored", "login", "sign in", "share", "reply", "privacy", "comment", "read more", "related")
+#: How a notice of rights opens (fixed values).
+_RIGHTS = ("©", "copyright", "(c)")
 
 
 def text_features(block: Block) -> list[str]:
@@ -35,12 +36,24 @@ def text_features(block: Block) -> list[str]:
         "stop" if text[-1] in ".!?\"”»" else "open",
         "constant",
     ]
-    if words < 40:
-        lower = text.lower()
-        out += [f"says:{w}" for w in _WORDS if w in lower]
+    if text[:9].lower().startswith(_RIGHTS):
+        out.append("rights")
     return out
 
 
+def score_of(frame: Frame, weights: dict[str, float]) -> float:
+    """The weights of the features of an element and of all around it; each element is summed once."""
+    path = []
+    while frame is not None and frame.score is None:
+        path.append(frame)
+        frame = frame.parent
+    total = frame.score if frame is not None else 0.0
+    for one in reversed(path):
+        total += sum(weights.get(f, 0.0) for f in one.features)
+        one.score = total
+    return total
+
+
 @dataclass
 class Model:
     """Weight of each feature for label text (against other), and of label pairs by kinship."""
@@ -53,10 +66,7 @@ class Model:
         get, moves = self.weights.get, self.moves.tolist()
         a, b, back, parent = 0.0, 0.0, [], None
         for i, block in enumerate(found):
-            frame = block.frame
-            if frame.score is None:
-                frame.score = sum(get(f, 0.0) for f in frame.features)
-            gain = frame.score + sum(get(f, 0.0) for f in text_features(block))
+            gain = score_of(block.frame, self.weights) + sum(get(f, 0.0) for f in text_features(block))
             if i:
                 (aa, ab), (ba, bb) = moves[_kin(found[i - 1], block)]
                 to_a = (a + aa, 0) if a + aa >= b + ba else (b + ba, 1)
@@ -74,34 +84,35 @@ class Model:
 
 
 def _kin(before: Block, block: Block) -> int:
-    """1 if both blocks have the same names around them, else 0."""
-    return int(before.frame.features[: len(before.frame.features) - 1] == block.frame.features[: len(block.frame.features) - 1])
-
-
-def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 300, l2: float = 1e-5) -> Model:
-    """Fit on pages of blocks with labels (1: main text). All pages take each step together."""
-    pages = [p for p in pages if p[0]]
-    names: dict[str, int] = {}
-    longest = max(len(b) for b, _ in pages)
-    n = len(pages)
-    row, column = [], []
-    gold = np.zeros((n, longest), dtype=np.int64)
-    kin = np.zeros((n, longest), dtype=np.int64)
-    alive = np.zeros((n, longest), dtype=bool)
-    for i, (found, labels) in enumerate(pages):
-        for t, block in enumerate(found):
-            for f in (*block.frame.features, *text_features(block)):
-                column.append(names.setdefault(f, len(names)))
-                row.append(i * longest + t)
-            gold[i, t], alive[i, t] = labels[t], True
-            if t:
-                kin[i, t] = _kin(found[t - 1], block)
-    row, column = np.array(row), np.array(column)
-    w, moves = np.zeros(len(names)), np.zeros((2, 2, 2))
-    grown_w, grown_m = np.full(w.shape, 1e-8), np.full(moves.shape, 1e-8)
-    every = np.arange(n)
-    for _ in range(steps):
-        gain = np.bincount(row, w[column], n * longest).reshape(n, longest)
+    """1 if both blocks stand in the same element or in two with one parent, else 0."""
+    return int(before.frame.parent is block.frame.parent)
+
+
+class Chains:
+    """Labelled pages as padded arrays, and the likelihood of their labels with its slopes."""
+
+    def __init__(self, pages: list[tuple[list[Block], list[int]]]):
+        pages = [p for p in pages if p[0]]
+        self.names: dict[str, int] = {}
+        self.longest, self.n = max(len(b) for b, _ in pages), len(pages)
+        row, column = [], []
+        shape = (self.n, self.longest)
+        self.gold, self.kin = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64)
+        self.alive = np.zeros(shape, dtype=bool)
+        for i, (found, labels) in enumerate(pages):
+            for t, block in enumerate(found):
+                for f in (*block.frame.around(), *text_features(block)):
+                    column.append(self.names.setdefault(f, len(self.names)))
+                    row.append(i * self.longest + t)
+                self.gold[i, t], self.alive[i, t] = labels[t], True
+                if t:
+                    self.kin[i, t] = _kin(found[t - 1], block)
+        self.row, self.column = np.array(row), np.array(column)
+
+    def slopes(self, w: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean negative log-likelihood of a page's labels and its derivatives, by forward-backward."""
+        n, longest, kin, alive, gold = self.n, self.longest, self.kin, self.alive, self.gold
+        gain = np.bincount(self.row, w[self.column], n * longest).reshape(n, longest)
         score = np.stack([np.zeros_like(gain), gain], axis=2)
         forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         forward[:, 0] = score[:, 0]
@@ -114,16 +125,27 @@ def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 300, l2: float
             backward[:, t] = np.where(alive[:, t + 1, None], np.logaddexp(step[:, :, 0], step[:, :, 1]), 0.0)
         p = np.exp(forward + backward - total[:, None, None])[:, :, 1]
         miss = np.where(alive, p - gold, 0.0) / n
-        slope_w = np.bincount(column, miss.ravel()[row], len(w)) + l2 * w
-        slope_m = l2 * moves
+        slope_m, every = np.zeros_like(moves), np.arange(n)
+        told = np.where(alive, gain * gold, 0.0).sum(axis=1)
         for t in range(1, longest):
             pair = np.exp(forward[:, t - 1, :, None] + moves[kin[:, t]] + score[:, t, None, :] + backward[:, t, None, :] - total[:, None, None])
             pair[every, gold[:, t - 1], gold[:, t]] -= 1
             np.add.at(slope_m, kin[:, t], np.where(alive[:, t, None, None], pair, 0.0) / n)
-        for target, slope, sums in ((w, slope_w, grown_w), (moves, slope_m, grown_m)):
+            told += np.where(alive[:, t], moves[kin[:, t], gold[:, t - 1], gold[:, t]], 0.0)
+        return float((total - told).mean()), np.bincount(self.column, miss.ravel()[self.row], len(w)), slope_m
+
+
+def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 300, l2: float = 1e-5) -> Model:
+    """Fit on pages of blocks with labels (1: main text). All pages take each step together."""
+    chains = Chains(pages)
+    w, moves = np.zeros(len(chains.names)), np.zeros((2, 2, 2))
+    grown_w, grown_m = np.full(w.shape, 1e-8), np.full(moves.shape, 1e-8)
+    for _ in range(steps):
+        _, slope_w, slope_m = chains.slopes(w, moves)
+        for target, slope, sums in ((w, slope_w + l2 * w, grown_w), (moves, slope_m + l2 * moves, grown_m)):
             sums += slope**2
             target -= 0.5 * slope / np.sqrt(sums)
-    return Model({f: float(w[i]) for f, i in names.items()}, moves)
+    return Model({f: float(w[i]) for f, i in chains.names.items()}, moves)
 
 
 def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[tuple[str, str]]:
@@ -258,9 +280,11 @@ def extract(pages: DataFrame, model: Model, keys: tuple[str, ...] = ("page_id",
     """One row per row of ``pages``: the key columns and text, the page's main text.
 
     Null or empty pages, and pages without main text, give an empty text. Repeated rows are
-    each extracted; null keys stay null; other columns are ignored; no rows give no rows.
+    each extracted; null keys stay null; other columns are ignored, whatever their names; no
+    rows give no rows. Very long, broken or deeply nested pages are read whole in linear time. Of
+    labellings that score alike the one is taken that leaves a block out.
     """
-    rows = pages.select(*[F.col(k) for k in keys], F.col(html).alias("_html"))
+    rows = pages.select(*[F.col(k) for k in keys], F.col(html).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
