@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -67,16 +68,24 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = end
 
 
+#: Longer spans are hashed byte by byte: a polynomial modulo 2**64 can be equal for long regular ones.
+LONG_SPAN = 64
+
+
 class Hasher:
-    """Polynomial hashes of any byte spans of one buffer, in constant time a span."""
+    """Hashes of any byte spans of one buffer, in constant time a span of up to ``LONG_SPAN`` bytes."""
 
     def __init__(self, data: np.ndarray):
+        self.data = data
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data) + 1)[:-1], dtype=np.uint64, out=self.sums[1:])
         self.back = _power(_BASE_INV, len(data) + 1)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
+        out = mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
+        for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[starts[i] : ends[i]].tobytes())
+        return out
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
