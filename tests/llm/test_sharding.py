@@ -89,3 +89,63 @@ def test_swaps_make_groups_whole():
                 for j, r in pieces:
                     held[j] += c * r
         assert all(held[j] <= share[j] for j in held)
+
+
+def cut_edges(shard, edges):
+    return sum(shard[a] != shard[b] for a, b in edges)
+
+
+def as_links(spark, edges):
+    rows = [(i, f"e{k}") for k, e in enumerate(edges) for i in e]
+    return spark.createDataFrame(rows, "doc_id long, grp string")
+
+
+def test_propagation_finds_communities(spark):
+    rng = random.Random(6)
+    n, shards, size = 72, 3, 24
+    edges = [(a, b) for a in range(n) for b in range(a) if rng.random() < (0.25 if a // size == b // size else 0.004)]
+    rows = [(i, f"text {i}") for i in range(n)] + [(1000 + i, f"free {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sharding.shard(df, shards=shards, links=as_links(spark, edges)).collect()
+    check(rows, got, shards)
+    dealt = sum(rng.randrange(shards) != rng.randrange(shards) for _ in edges)
+    assert cut_edges({r.doc_id: r.shard for r in got}, edges) < 0.7 * dealt
+
+
+def test_propagation_against_all_balanced_cuts(spark):
+    from itertools import combinations
+
+    rng = random.Random(2)
+    for _ in range(3):
+        edges = list({tuple(rng.sample(range(4), 2)) for _ in range(5)} | {tuple(x + 4 for x in rng.sample(range(4), 2)) for _ in range(5)} | {(0, 4)})
+        rows = [(i, f"text {i}") for i in range(8)]
+        got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=2, links=as_links(spark, edges)).collect()
+        check(rows, got, 2)
+        best = min(cut_edges({i: i in half for i in range(8)}, edges) for half in combinations(range(8), 4))
+        worst = max(cut_edges({i: i in half for i in range(8)}, edges) for half in combinations(range(8), 4))
+        assert best <= cut_edges({r.doc_id: r.shard for r in got}, edges) <= (best + worst) / 2
+
+
+def test_propagation_never_loses_links(spark):
+    rng = random.Random(3)
+    labels = [(i, rng.randrange(4)) for i in range(80)]
+    links = [(i, f"g{rng.randrange(20)}") for i in range(80) for _ in range(2)]
+    args = spark.createDataFrame(labels, "node long, shard int"), spark.createDataFrame(links, "node long, group string")
+    out, before, after = sharding.propagate(*args, 100, 4)
+    shard, groups = {r.node: r.shard for r in out.collect()}, {}
+    for i, g in set(links):
+        groups.setdefault(g, []).append(i)
+    together = lambda by: sum(by[a] == by[b] for m in groups.values() for k, a in enumerate(m) for b in m[:k])
+    assert (before, after) == (together(dict(labels)), together(shard)) and after > before
+    held = Counter(shard.values())
+    assert max(held.values()) <= max(25, *Counter(s for _, s in labels).values())
+
+
+def test_quotas_swap_and_fill_room():
+    may = sharding.quotas({(0, 1): {0: 3, 2: 4}, (1, 0): {1: 5}, (2, 0): {0: 9}}, [2, 0, 0])
+    assert may == {(0, 1, 2): 4, (0, 1, 0): 1, (1, 0, 1): 5, (2, 0, 0): 2}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(k, f"t{k % 3}", 1, 2, "x") for k in range(30)], "doc_id long, text string, shard int, node int, `group` string")
+    assert len(sharding.shard(df, shards=4).collect()) == 30
