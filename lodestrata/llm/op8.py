@@ -49,14 +49,18 @@ ORACLE_SQL = {
     "op8_url_filter": r"""
 WITH own AS (
   SELECT page_id, url, 1704067200 + (page_id * 7919 % 525600) * 60 AS fetched,
-         lower(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', '')) AS host,
+         lower(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#@\]]*\]|[^/?#:@\[\]]+)', 1), '\.+$', '')) AS host,
          list_filter(string_split(regexp_extract(coalesce(url, ''), '^[^:/?#]+://[^/?#]*(/[^?#]*)', 1), '/'), lambda p: p <> '') AS parts
   FROM pages),
+tops AS (
+  SELECT *, CASE WHEN regexp_matches(host, '^(\[.*\]|[0-9]+(\.[0-9]+){3})$') THEN 1
+    ELSE greatest(1, len(string_split(host, '.')) - 1 - CASE WHEN length(string_split(host, '.')[-1]) = 2 AND string_split(host, '.')[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 1 ELSE 0 END) END AS top
+  FROM own WHERE host <> ''),
 asked AS (
   SELECT DISTINCT page_id, url, fetched, host, unnest(list_concat(
-      list_transform(range(1, greatest(2, len(string_split(host, '.')))), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+      list_transform(range(1, top + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
       list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS entry
-  FROM own WHERE host <> ''),
+  FROM tops),
 named AS (SELECT entry, CAST('0x' || substr(md5(entry), 1, 7) AS BIGINT) AS n FROM (SELECT DISTINCT entry FROM asked)),
 log AS (
   SELECT entry, 1704067200 + (n % 300 + d) * 86400 AS dated, listed FROM named, (VALUES (3, 0, true), (6, 40, false), (12, 60, true)) AS t(m, d, listed) WHERE n % m = 0),

@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A key asked for by more than 1 / HOT_SHARE of all requests is spread over SALTS partitions;
-#: there are fewer than HOT_SHARE such keys, so their list is broadcast.
-HOT_SHARE, SALTS = 64, 64
+#: there are fewer than HOT_SHARE such keys, so their list is broadcast. What the other keys ask
+#: for is less each than an ordinary partition holds.
+HOT_SHARE, SALTS = 4096, 64
+#: Second-level names under which countries register domains (fixed values).
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+_ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and closing dots; empty if there is none."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#@\]]*\]|[^/?#:@\[\]]+)", 1)
     return F.lower(F.regexp_replace(F.coalesce(host, F.lit("")), r"\.+$", ""))
 
 
@@ -27,9 +31,14 @@ def path_of(url: Column) -> Column:
 
 
 def requests(host: Column, path: Column) -> Column:
-    """What a capture may be listed under: host, parent domains of two labels or more, prefixes."""
+    """What a capture may be listed under: host, the domains above it that can be registered
+    (two labels, or three under a second-level name of a country), path prefixes. An address has
+    no domains above it."""
     labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda p: p != "")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    size = F.size(labels)
+    second = (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, size - 2).isin(*SECOND_LEVEL)
+    last = F.when(host.rlike(_ADDRESS), 1).otherwise(F.greatest(F.lit(1), size - 1 - F.coalesce(second, F.lit(False)).cast("int")))
+    domains = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.array_distinct(F.concat(domains, prefixes))).otherwise(F.array().cast("array<string>"))
 

@@ -29,3 +29,11 @@ def test_verdicts_at_fetch_time(spark):
     assert all(r.entry == want[r.page_id] and r.blocked == (r.entry is not None) for r in got)
     assert sum(r.page_id == 2 for r in got) == 2
     assert urlfilter.verdicts(c.where("false"), spark.createDataFrame(log, "entry string, listed boolean, dated timestamp, seq int")).count() == 0
+
+
+def test_what_is_asked_for(spark):
+    urls = {"http://1.2.3.4/a": ["1.2.3.4", "1.2.3.4/a"], "http://[2001:db8::1]:80/": ["[2001:db8::1]"], "http://x.a.co.uk": ["x.a.co.uk", "a.co.uk"], "http://b.a.de/": ["b.a.de", "a.de"], "http://co.uk": ["co.uk"], "http://localhost": ["localhost"]}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    host = urlfilter.host_of(df["url"])
+    got = df.select("url", urlfilter.requests(host, urlfilter.path_of(df["url"])).alias("asked")).collect()
+    assert {r.url: r.asked for r in got} == urls
