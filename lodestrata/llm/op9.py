@@ -11,7 +11,7 @@ from lodestrata.llm.session import cut, table
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
-    added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    added = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :text), (-7L, 1L, 'assistant', :text) AS t(conv_id, turn, role, text)", args={"text": control})
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     nodes = cut(trees.linear(rows))
     made = trees.format_paths(nodes, trees.paths(nodes))
@@ -19,7 +19,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = made.withColumn("loss", trees.unescape(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return made.select(
-        F.col("tree").alias("conv_id"),
+        trees.conversation(F.col("tree")).alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
@@ -31,7 +31,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = {
     "op9_chat": r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 sized AS (
   SELECT *, length(role) + length(text) + 5 + 5

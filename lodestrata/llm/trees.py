@@ -105,13 +105,23 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+#: The tree of turns without a conversation; no conversation has this id.
+NO_CONVERSATION = -(1 << 63)
+
+
+def conversation(tree: Column) -> Column:
+    """The conversation of a tree that ``linear`` made: null for ``NO_CONVERSATION``."""
+    return F.when(tree != NO_CONVERSATION, tree)
+
+
 def linear(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Nodes of conversations without branches: the parent of a turn is the turn before it.
 
     Turns are in order of ``turn``, null first; equal turns follow by role and text, so repeated
-    rows stay whole. Rows without a conversation are left out.
+    rows stay whole. Rows without a conversation are one of their own (``NO_CONVERSATION``).
+    Very long texts stay whole; other columns are ignored; no rows give no rows.
     """
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    own = rows.select(F.col(tree).cast("long").alias("tree"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).where(F.col("tree").isNotNull())
+    own = rows.select(F.coalesce(F.col(tree).cast("long"), F.lit(NO_CONVERSATION)).alias("tree"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     own = own.withColumn("node", F.row_number().over(order).cast("long"))
     return own.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))

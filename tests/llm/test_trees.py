@@ -48,3 +48,10 @@ def test_long_chain_and_repeated_turns(spark):
     assert [t.text for t in made[8].turns] == ["b", "a", "a"]
     empty = df.where("false")
     assert trees.format_paths(empty, trees.paths(empty)).count() == 0
+
+
+def test_turns_without_a_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (5, 0, "user", "c")]
+    df = trees.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    made = trees.format_paths(df, trees.paths(df)).withColumn("turns", trees.read_back(F.col("formatted"))).withColumn("conv_id", trees.conversation(F.col("tree")))
+    assert {r.conv_id: [t.text for t in r.turns] for r in made.collect()} == {None: ["a", "b"], 5: ["c"]}
