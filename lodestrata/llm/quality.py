@@ -28,6 +28,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_FALSE_REJECTION, DELTA, GOOD_COST = 0.02, 0.05, 3.0
 #: Strata up to which the cutoffs are broadcast (one small row each).
 BROADCAST_STRATA = 10_000
+#: Beyond, the rows of a stratum are joined in so many parts.
+SALTS = 64
 
 
 def add_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -142,7 +144,9 @@ def judge(
     repeated ids the least label counts. Strata are the values of ``stratum`` (null is one of
     its own). Documents that fail the base rule are not in the holdout and never kept. Empty
     tables give no rows; without labels every document that passes the base rule is kept.
-    Repeated rows are judged alike; other columns are ignored.
+    Repeated rows are judged alike; very long texts are measured whole; a score that equals a
+    cutoff rejects; other columns are ignored. The limit on false rejections holds for good
+    documents that pass the base rule; those that the base rule rejects are not counted in it.
     """
     keep = keep or []
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("stratum"), F.col("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
@@ -152,9 +156,13 @@ def judge(
     votes = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("doc_id")).agg(F.min("quality").alias("quality"))
     holdout = scored.where(~F.col("base_failed")).join(votes, "doc_id")
     cutoffs = cut(certified_cutoffs(holdout, max_false_rejection, delta, good_cost).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")))
+    salt = F.lit(0)
     if cutoffs.count() <= BROADCAST_STRATA:
-        cutoffs = F.broadcast(cutoffs)
+        cutoffs = F.broadcast(cutoffs.withColumn("_salt", F.lit(0)))
+    else:  # a stratum may hold a third of all rows
+        cutoffs = cutoffs.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
     over = [F.coalesce(F.col(r) >= F.col("cutoffs")[r], F.lit(False)) for r in RULES]
     hit = reduce(operator.or_, over)
-    out = scored.join(cutoffs, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~hit)
+    out = scored.withColumn("_salt", salt).join(cutoffs, ["stratum", "_salt"], "left").drop("_salt").withColumn("kept", ~F.col("base_failed") & ~hit)
     return out.drop("cutoffs").withColumnsRenamed({f"_keep_{c}": c for c in keep})
