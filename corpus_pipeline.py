@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import mixing, packing, probminhash, quality, toxicity
 from lodestrata.llm.op2 import THRESHOLD
-from lodestrata.llm.session import shared_folder, table
+from lodestrata.llm.session import remove, shared_folder, table
 
 #: Target shares of tokens by language. English keeps its own, the others are repeated to follow.
 LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
@@ -23,13 +23,21 @@ PER_LANGUAGE = 300
 ORACLE_SQL = None
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the certified cutoffs. Rows alike are judged alike."""
-    row = F.xxhash64("doc_id", "lang", "text")
-    judged = quality.judge(docs.withColumn("_row", row), table(spark, sf_dir, "labels"), keep=["_row"])
-    kept = judged.where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "_row").distinct()
-    marked = docs.withColumns({"_row": row, "_id": F.coalesce("doc_id", F.lit(-1))})
-    return marked.join(kept, ["_id", "_row"], "left_semi").select(docs.columns)
+    row = fresh(docs, "_row")
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "lang", "text"))
+    judged = quality.judge(marked, table(spark, sf_dir, "labels"), keep=[row])
+    kept = judged.where("kept").select(row).distinct()
+    return marked.join(kept, row, "left_semi").select(docs.columns)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +48,13 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class; of repeated rows one. Rows without an id all stay."""
+    """The document of least id of each class; of repeated rows one. Rows without an id are known by
+    their text and stay only where no document with an id is like them."""
+    known = fresh(docs, "_known")
     found = probminhash.near_duplicates(docs)
-    firsts = found.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    firsts = found.where("known_as = class_id").select(F.col("known_as").alias(known)).distinct()
+    named = docs.withColumn(known, probminhash.known_by(F.col("doc_id"), F.col("text")))
+    return named.join(firsts, known, "left_semi").dropDuplicates([known]).select(docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +66,10 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct()
     labelled = docs.join(labels, "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
     mixed = mixing.mix(docs, labelled, LANGUAGES, anchor="en", per_domain=PER_LANGUAGE)
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    rows = docs.join(copies, "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return rows.where("_copies > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    times, one = fresh(docs, "_times"), fresh(docs, "_one")
+    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias(times))
+    rows = docs.join(copies, "doc_id", "left").withColumn(times, F.coalesce(times, F.lit(1)))
+    return rows.where(F.col(times) > 0).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,10 +87,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; what stands between them is written to the shared folder."""
+    """All stages on documents; what stands between them is written to the shared folder, and
+    deleted there once the next stage is written. What the last stage reads stays."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
