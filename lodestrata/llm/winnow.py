@@ -4,7 +4,8 @@ Every code point has a 64-bit hash s(c). The rolling hash of the ``K`` code poin
 the shift-and-xor polynomial s(c_i) * x**(K-1) + ... + s(c_i+K-1) over GF(2), cut to 64 bits:
 it is rolled over the text by doubling, H_2m(i) = (H_m(i) << m) xor H_m(i + m), so all grams of
 a text take log2(K) passes and no gram is hashed anew (expressions have no running state that
-would allow the step from one gram to the next). Its upper 31 bits depend on all ``K``.
+would allow the step from one gram to the next). Bits 32 to 62, which are kept, depend on all
+``K``.
 
 The least gram of every ``W`` neighbours is kept, of equal ones the rightmost. Any
 ``K + W - 1`` code points that two texts share therefore give them a common fingerprint;
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 K, W = 16, 32
 #: Code points that a gram or window of a place reaches beyond it.
 REACH = K + W - 2
-CHUNK = 1 << 14
+CHUNK = 1 << 12
 _POSITIONS = (1 << 32) - 1
 _HIGH = _POSITIONS >> 1 << 32
 #: Documents of one run of neighbours.
@@ -40,26 +41,29 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _after(name: str, n: int) -> str:
-    return f"slice({name}, {n} + 1, size({name}))"
+def _later(name: str, n: int) -> str:
+    """SQL of an array moved ``n`` places on, with nulls before it (a plain copy, unlike ``slice``)."""
+    return f"concat(array_repeat(cast(null as bigint), {n}), {name})"
 
 
 def _windows(chunk: str, base: str, only: str) -> str:
     """SQL of the distinct window minima of a chunk whose first code point stands at ``base``;
-    ``only``: whether fewer than ``W`` grams are a window."""
+    ``only``: whether fewer than ``W`` grams are a window. Entry j of an array is of the gram, or
+    of the window, that ends at j."""
     steps = [(f"transform(split({chunk}, ''), c -> xxhash64(c))", "h1")]
     m = 1
     while m < K:
-        steps.append((f"zip_with(h{m}, {_after(f'h{m}', m)}, (x, y) -> shiftleft(x, {m}) ^ y)", f"h{2 * m}"))
+        steps.append((f"zip_with({_later(f'h{m}', m)}, h{m}, (x, y) -> shiftleft(x, {m}) ^ y)", f"h{2 * m}"))
         m *= 2
-    grams = f"greatest(0, size(h1) - {K - 1})"
     steps.append((f"{_POSITIONS}L - {base}", "top"))
-    steps.append((f"transform(slice(h{K}, 1, {grams}), (h, i) -> (shiftrightunsigned(h, 1) & {_HIGH}L) + (top - i))", "m1"))
+    grams = f"slice(h{K}, {K}, greatest(0, char_length({chunk}) - {K - 1}))"
+    steps.append((f"transform({grams}, (h, i) -> (h & {_HIGH}L) + (top - i))", "m1"))
     m = 1
     while m < W:
-        steps.append((f"zip_with(m{m}, {_after(f'm{m}', m)}, (x, y) -> least(x, y))", f"m{2 * m}"))
+        steps.append((f"zip_with({_later(f'm{m}', m)}, m{m}, (x, y) -> least(x, y))", f"m{2 * m}"))
         m *= 2
-    body = f"array_distinct(slice(m{W}, 1, greatest(if({only}, least(1, size(m1)), 0), size(m1) - {W - 1})))"
+    count = f"greatest(if({only}, least(1, size(m1)), 0), size(m1) - {W - 1})"
+    body = f"array_distinct(slice(m{W}, greatest(1, least({W}, size(m1))), {count}))"
     for value, name in reversed(steps):
         body = _let(value, name, body)
     return body
@@ -72,7 +76,7 @@ def kept_grams(text: str, base: str = "0", partial: str = "false") -> Column:
     reach = f"zip_with(parts, slice(parts, 2, size(parts)), (a, b) -> concat(a, coalesce(left(b, {REACH}), '')))"
     only = f"(size(parts) = 1 AND NOT {partial})"
     found = f"transform({reach}, (part, at) -> {_windows('part', f'({base} + at * {CHUNK}L)', only)})"
-    short = f"array(shiftleft(shiftrightunsigned(xxhash64({text}), 33), 32) + ({_POSITIONS}L - {base}))"
+    short = f"array((xxhash64({text}) & {_HIGH}L) + ({_POSITIONS}L - {base}))"
     none = "cast(array() as array<bigint>)"
     return F.expr(
         f"CASE WHEN {text} = '' THEN {none} WHEN char_length({text}) < {K} THEN if({partial}, {none}, {short})"
