@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.checkpoints import cut
+from lodestrata.operators.objects import by_label
 
 
 def get_relations(relations: DataFrame, object_id: int | None = None, relation_type: str | None = None, min_confidence: float = 0.0) -> DataFrame:
@@ -25,8 +26,21 @@ def neighbours(relations: DataFrame, object_id: int, relation_type: str | None =
     return rows.select(other.alias("object_id")).distinct()
 
 
+def first_relations(relations: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` edges in the order in which they are found: by pair, then ``seq``."""
+    return relations.orderBy(F.least("object_a_id", "object_b_id"), F.greatest("object_a_id", "object_b_id"), "seq").limit(n)
+
+
 def relation_summary(relations: DataFrame) -> DataFrame:
-    return relations.groupBy("relation_type").agg(F.count("*").alias("n"))
+    """Edges of each type and the sum of their confidences."""
+    return relations.groupBy("relation_type").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"))
+
+
+def targets(objects: DataFrame, label: str, similar: DataFrame, partial: bool = True) -> DataFrame:
+    """(object_id) of the objects that a label names or, where it names none, of ``similar``."""
+    named = by_label(objects, label, partial).select("object_id")
+    none = named.agg((F.count("*") == 0).alias("none"))  # one row
+    return named.unionByName(similar.select("object_id").join(F.broadcast(none)).where("none").select("object_id"))
 
 
 def related_objects(objects: DataFrame, relations: DataFrame, targets: DataFrame, relation_type: str | None = None, min_confidence: float = 0.5) -> DataFrame:

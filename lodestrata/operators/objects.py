@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geometry as G
@@ -118,3 +118,22 @@ def statistics(objects: DataFrame, config: ConfirmConfig = ConfirmConfig()) -> D
         F.coalesce(F.avg("num_observations"), F.lit(0.0)).alias("avg_observations"),
         F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"),
     )
+
+
+def search(rows: DataFrame, asked: DataFrame, n: int = 5, threshold: float = 0.0, places: int | None = None, blocks: int = 64) -> DataFrame:
+    """(query_id, object_id, similarity, rank): for every query (query_id, embedding) its ``n`` most
+    similar rows (object_id, embedding) at ``threshold`` or more; ties by id.
+
+    Queries are dealt to ``blocks`` and every row is sent to each block that has some, an equi-join;
+    each part keeps its own best ``n`` before the parts meet. ``places``: digits to round to.
+    """
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    dealt = asked.select("query_id", F.col("embedding").alias("_asked"), block.alias("_block"))
+    used = F.broadcast(dealt.select("_block").distinct())  # ``blocks`` rows at most
+    sent = rows.select("object_id", "embedding").join(used).withColumn("_part", F.pmod(F.xxhash64("object_id"), F.lit(blocks)))
+    spread = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    likeness = G.dot(F.col("embedding"), F.col("_asked"))
+    found = sent.join(spread, ["_block", "_part"]).withColumn("similarity", likeness if places is None else F.round(likeness, places))
+    found = found.where(F.col("similarity") >= threshold).select("query_id", "object_id", "similarity")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "object_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

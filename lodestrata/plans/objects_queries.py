@@ -75,14 +75,13 @@ def top_objects_by_points(v: Views) -> DataFrame:
 
 @query(
     "embedding_top_k",
-    """SELECT e.vec_id AS object_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 4) AS similarity
- FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
- WHERE list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) >= 0.2 ORDER BY 2 DESC, 1 LIMIT 5""",
+    """WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS object_id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)
+SELECT query_id, object_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, object_id) AS rank FROM pairs WHERE similarity >= 0.2) WHERE rank <= 5""",
 )
 def embedding_top_k(v: Views) -> DataFrame:
     rows = v.table("embeddings").select(F.col("vec_id").alias("object_id"), "embedding")
-    asked = rows.where("object_id = 0").first()["embedding"]  # one vector
-    return O.by_embedding(rows, asked, 5, 0.2).select("object_id", F.round("similarity", 4).alias("similarity"))
+    found = O.search(rows, rows.where("object_id % 100 = 0").withColumnRenamed("object_id", "query_id"), 5, 0.2, places=4)
+    return found.select("query_id", "object_id", "similarity")
 
 
 @query(

@@ -151,9 +151,16 @@ def overlap_relations(v: Views) -> DataFrame:
     return found.select("object_a_id", "object_b_id", "relation_type", F.round("confidence", 5).alias("confidence"))
 
 
-@query("clean_clouds")
+@query(
+    "clean_clouds",
+    """WITH p AS (SELECT *, row_number() OVER () AS id FROM v_points),
+ apart AS (SELECT a.object_id, a.id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS k FROM p a JOIN p b ON a.object_id = b.object_id),
+ own AS (SELECT object_id, id, avg(d) AS m FROM apart WHERE k <= 5 GROUP BY ALL),
+ cloud AS (SELECT object_id, count(*) AS n, avg(m) + coalesce(stddev_samp(m), 0) AS top FROM own GROUP BY object_id)
+SELECT object_id, count(*) AS num_points FROM own JOIN cloud USING (object_id) WHERE n < 2 OR m <= top + 1e-9 GROUP BY object_id""",
+)
 def clean_clouds(v: Views) -> DataFrame:
-    rows = C.without_outliers(v.points.select("object_id", "x", "y", "z"), 5, 1.0)
+    rows = C.without_outliers(v.points.select("object_id", "x", "y", "z"), 5, 1.0 + 1e-9)
     return rows.groupBy("object_id").agg(F.count("*").alias("num_points"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions import language as L
 from lodestrata.operators import graph as GR
 from lodestrata.operators import relations as R
 from lodestrata.operators.objects import by_label, confirmed
@@ -63,8 +64,7 @@ def geometric_relations(v: Views) -> DataFrame:
 
 @query("relation_summary", f"WITH {PAIRS}, {EDGES} SELECT relation_type, count(*) AS n, round(sum(confidence), 3) AS confidence FROM edges GROUP BY relation_type")
 def relation_summary(v: Views) -> DataFrame:
-    e = edges_of(v)
-    return GR.relation_summary(e).join(e.groupBy("relation_type").agg(F.round(F.sum("confidence"), 3).alias("confidence")), "relation_type")
+    return GR.relation_summary(edges_of(v)).withColumn("confidence", F.round("confidence", 3))
 
 
 @query("relations_of_object", f"WITH {PAIRS}, {EDGES} SELECT object_a_id, object_b_id, relation_type FROM edges WHERE (object_a_id = 45 OR object_b_id = 45) AND confidence >= 0.25")
@@ -94,10 +94,7 @@ def related_objects(v: Views) -> DataFrame:
     return GR.related_objects(objects, edges_of(v), by_label(objects, "table"), "near").select("object_id", "label")
 
 
-_MOVABLE = "['book','cup','bottle','laptop','phone','mouse','keyboard','plant','vase','bowl','plate','remote','lamp']"
-_SURFACE = "['table','desk','floor','shelf','counter','nightstand','dresser','cabinet','chair','stool','bed','carpet','rug']"
-_HOLDER = "['box','drawer','cabinet','shelf','closet','bag','basket','bin','container','cupboard']"
-_HELD = "['book','clothing','item','object','thing']"
+_MOVABLE, _SURFACE, _HOLDER, _HELD = (f"[{', '.join(repr(w) for w in words)}]" for words in (L.MOVABLE, L.SURFACES, L.CONTAINERS, L.CONTAINED))
 
 
 def _says(label: str, words: str) -> str:

@@ -14,7 +14,7 @@ from lodestrata.operators import providers, tsdf
 from lodestrata.operators import relations as R
 from lodestrata.operators import tracking as T
 from lodestrata.plans.common import Views, query, r6
-from lodestrata.plans.relations_queries import EDGES, PAIRS, edges_of
+from lodestrata.plans.relations_queries import _NAME, _SURE, EDGES, PAIRS, edges_of
 from lodestrata.sources import scenes
 
 
@@ -42,11 +42,12 @@ def track_summary(v: Views) -> DataFrame:
     f"""WITH {_FRAMES}, born AS (SELECT scene_id, object_id, min(frame_idx) AS first FROM v_detections GROUP BY ALL),
  grid AS (SELECT b.scene_id, b.object_id, f.frame_idx, f.k, EXISTS (SELECT 1 FROM v_detections d WHERE d.scene_id = b.scene_id AND d.object_id = b.object_id AND d.frame_idx = f.frame_idx) AS seen FROM born b JOIN frames f ON f.scene_id = b.scene_id AND f.frame_idx >= b.first),
  gaps AS (SELECT scene_id, object_id, frame_idx, k - max(CASE WHEN seen THEN k END) OVER (PARTITION BY scene_id, object_id ORDER BY frame_idx) AS misses FROM grid)
-SELECT *, CASE WHEN misses >= 10 THEN 'inactive' WHEN misses > 0 THEN 'missing' ELSE 'active' END AS status FROM gaps""",
+, told AS (SELECT g.*, CASE WHEN misses >= 10 THEN 'inactive' WHEN misses > 0 THEN 'missing' ELSE 'active' END AS status, f.k - misses AS seen_k FROM gaps g JOIN frames f USING (scene_id, frame_idx))
+SELECT t.scene_id, object_id, f.frame_idx AS seen_frame, status, min(t.frame_idx) AS from_frame, max(t.frame_idx) AS to_frame FROM told t JOIN frames f ON f.scene_id = t.scene_id AND f.k = seen_k GROUP BY ALL""",
 )
 def status_by_frame(v: Views) -> DataFrame:
     rows = _observed(v)
-    return T.status_by_frame(rows, rows)
+    return T.status_intervals(rows, rows)
 
 
 @query("seen_at_frame", "SELECT scene_id, object_id, arg_max(frame_idx, (frame_idx, det_idx)) AS frame_idx, arg_max(det_idx, (frame_idx, det_idx)) AS det_idx FROM v_detections WHERE frame_idx <= 100 GROUP BY ALL")
@@ -82,7 +83,14 @@ def tracker_statistics(v: Views) -> DataFrame:
     return T.statistics(rows, T.summarise(rows, _observed(v)))
 
 
-@query("ema_embeddings")
+@query(
+    "ema_embeddings",
+    """WITH RECURSIVE r AS (SELECT CAST(label AS VARCHAR) AS scene_id, vec_id % 7 AS object_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label, vec_id % 7 ORDER BY vec_id) AS k FROM embeddings),
+ m AS (SELECT scene_id, object_id, k, e AS v FROM r WHERE k = 1
+  UNION ALL SELECT scene_id, object_id, k, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) FROM (
+   SELECT r.scene_id, r.object_id, r.k, list_transform(list_zip(r.e, m.v), lambda p: 0.7e0 * p[1] + 0.3e0 * p[2]) AS u FROM m JOIN r ON r.scene_id = m.scene_id AND r.object_id = m.object_id AND r.k = m.k + 1) t)
+SELECT scene_id, object_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(v[1], 5) AS first FROM m WHERE k = (SELECT max(k) FROM r WHERE r.scene_id = m.scene_id AND r.object_id = m.object_id)""",
+)
 def ema_embeddings(v: Views) -> DataFrame:
     e = v.table("embeddings").selectExpr("CAST(label AS STRING) AS scene_id", "vec_id % 7 AS object_id", "CAST(vec_id AS INT) AS frame_idx", "0 AS det_idx", "embedding")
     rows = T.ema_embeddings(e)
@@ -200,7 +208,12 @@ def example_pairs(v: Views) -> DataFrame:
     return GR.example_pairs(rows).select("relation_type", "object_a_id", "object_b_id", "rank")
 
 
-@query("visual_relations")
+@query(
+    "visual_relations",
+    f"""WITH {PAIRS}, said AS (SELECT scene_id, a_id, b_id, b_id = a_id + 1 AND a_id % 3 > 0 AND greatest(a_first_seen_frame, b_first_seen_frame) <= least(a_last_seen_frame, b_last_seen_frame) AS seen, {_NAME} AS rule, {_SURE} AS sure FROM pairs)
+SELECT * FROM (SELECT a_id AS object_a_id, b_id AS object_b_id, CASE WHEN seen THEN 'near' ELSE rule END AS relation_type, round(CASE WHEN seen THEN 0.85 ELSE sure END, 6) AS confidence, CASE WHEN seen THEN 'visual' ELSE 'rules' END AS method FROM said)
+ WHERE relation_type <> 'none' AND confidence >= 0.5""",
+)
 def visual_relations(v: Views) -> DataFrame:
     answers = v.objects.select(F.col("object_id").alias("a_id"), (F.col("object_id") + 1).alias("b_id"), F.when(F.col("object_id") % 3 > 0, F.lit("next to")).alias("answer"))
     return R.relate(v.objects, "visual", answers=answers).select("object_a_id", "object_b_id", "relation_type", r6("confidence"), "method")
@@ -209,9 +222,18 @@ def visual_relations(v: Views) -> DataFrame:
 @query("embedding_projection")
 def embedding_projection(v: Views) -> DataFrame:
     rows = v.table("embeddings").select("vec_id", "embedding")
-    return P.principal(rows, "embedding", 2).select("vec_id", *[F.round(F.abs(F.col("projected")[k]), 4).alias(f"p{k}") for k in range(2)])
+    return P.principal(rows, "embedding", 2).where("projected IS NOT NULL").select("vec_id", *[F.round(F.abs(F.col("projected")[k]), 4).alias(f"p{k}") for k in range(2)])
 
 
-@query("filled_masks")
+@query(
+    "filled_masks",
+    """WITH edge AS (SELECT frame_idx, det_idx, min(row) AS y1, max(row) AS y2, min(col) AS x1, max(col) AS x2 FROM v_mask_pixels GROUP BY ALL),
+ sized AS (SELECT *, (y2 - y1 + 1) * (x2 - x1 + 1) AS whole, greatest(0, y2 - y1 - 1) * greatest(0, x2 - x1 - 1) AS hole FROM edge)
+SELECT frame_idx, det_idx, CAST(CASE WHEN hole < 5 THEN whole ELSE whole - hole END AS BIGINT) AS area FROM sized""",
+)
 def filled_masks(v: Views) -> DataFrame:
-    return M.fill_holes(v.mask_pixels, 16, 16, 10).groupBy("frame_idx", "det_idx").agg(F.count("*").alias("area"))
+    """The outlines of the rectangles: a hole of fewer than five pixels is filled, a larger one is not."""
+    pixels = v.mask_pixels
+    edge = pixels.groupBy("frame_idx", "det_idx").agg(F.min("row").alias("y1"), F.max("row").alias("y2"), F.min("col").alias("x1"), F.max("col").alias("x2"))
+    outline = pixels.join(edge, ["frame_idx", "det_idx"]).where("row IN (y1, y2) OR col IN (x1, x2)").select("frame_idx", "det_idx", "row", "col")
+    return M.fill_holes(outline, 16, 16, 5).groupBy("frame_idx", "det_idx").agg(F.count("*").alias("area"))

@@ -105,9 +105,13 @@ def test_misses_and_status(spark):
     rows = [("s", f, 0, A, U) for f in (0, 1, 2)] + [("s", f, 1, B, V) for f in (0, 11, 12)]
     o = boxes(spark, rows).withColumn("object_id", F.col("det_idx").cast("long"))
     frames = spark.createDataFrame([("s", f) for f in range(13)], "scene_id string, frame_idx int")
-    got = {(r.object_id, r.frame_idx): (r.misses, r.status) for r in tracking.status_by_frame(o, frames).collect()}
-    assert got[(0, 2)] == (0, "active") and got[(0, 3)] == (1, "missing") and got[(0, 11)] == (9, "missing") and got[(0, 12)] == (10, "inactive")
-    assert got[(1, 11)] == (0, "active") and got[(1, 10)][1] == "inactive"
+    found = tracking.status_intervals(o, frames)
+    got = {tuple(r)[1:] for r in found.collect()}
+    assert got == {
+        *((0, f, "active", f, f) for f in (0, 1, 2)), (0, 2, "missing", 3, 11), (0, 2, "inactive", 12, 12),
+        *((1, f, "active", f, f) for f in (0, 11, 12)), (1, 0, "missing", 1, 9), (1, 0, "inactive", 10, 10),
+    }
+    assert {r.object_id: r.status for r in tracking.status_at(found, 10).collect()} == {0: "missing", 1: "inactive"}
     assert {r.object_id: r.status for r in tracking.summarise(o, frames).collect()} == {0: "inactive", 1: "active"}
 
 
@@ -264,3 +268,55 @@ def test_tracker_reads_all_embeddings(spark):
     assert rows.count() == v.detections.count() and rows.where("embedding IS NULL").isEmpty()
     users = v.detections.select((F.col("object_id") % n).alias("u")).distinct().count()
     assert rows.select("embedding").distinct().count() == users
+
+
+def test_tracker_against_a_plain_one():
+    """The array form of a frame against loops over pairs, by both kinds of matching."""
+    rng = np.random.default_rng(5)
+
+    def alike(track, box, feature, config):
+        overlap = 0.0
+        if track["box"] is not None and box is not None:
+            a, b = track["box"], box
+            shared = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+            whole = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared
+            overlap = shared / whole if whole else 0.0
+        dot = sum(x * y for x, y in zip(track["feature"], feature)) if track["feature"] is not None and feature is not None else 0.0
+        return config.spatial_weight * overlap + config.feature_weight * dot
+
+    for matching, single in (("snapshot", False), ("snapshot", True), ("sequential", False), ("sequential", True)):
+        config = tracking.TrackerConfig(matching=matching, one_to_one=single, max_missing_frames=3, threshold=0.4)
+        scene, plain, next_id = tracking.Scene(), [], 0
+        for _ in range(30):
+            frame = []
+            for _ in range(rng.integers(0, 6)):
+                x, y, f = rng.integers(0, 12), rng.integers(0, 12), rng.normal(size=3)
+                frame.append((None if rng.random() < 0.1 else [float(x), float(y), x + 6.0, y + 5.0], None if rng.random() < 0.1 else (f / np.linalg.norm(f)).tolist()))
+            got = tracking.step(scene, frame, config)
+            old = [dict(t) for t in plain]
+            taken, want = set(), []
+            for box, feature in frame:
+                pool = old if matching == "snapshot" else plain
+                best, at = -np.inf, None
+                for t in pool:
+                    if not (single and t["id"] in taken) and (s := alike(t, box, feature, config)) > best:
+                        best, at = s, t["id"]
+                if at is None or best < config.threshold:
+                    plain.append({"id": next_id, "box": box, "feature": feature, "misses": 0})
+                    at, next_id, matched = next_id, next_id + 1, 0
+                else:
+                    matched = 1
+                    t = next(t for t in plain if t["id"] == at)
+                    t["box"] = box if box is not None else t["box"]
+                    if feature is not None and t["feature"] is not None:
+                        mixed = [0.7 * x + 0.3 * y for x, y in zip(feature, t["feature"])]
+                        size = sum(x * x for x in mixed) ** 0.5
+                        t["feature"] = [x / size for x in mixed]
+                    elif feature is not None:
+                        t["feature"] = feature
+                taken.add(at)
+                want.append((at, matched))
+            for t in plain:
+                t["misses"] = 0 if t["id"] in taken else t["misses"] + 1
+            plain = [t for t in plain if t["misses"] < 3]
+            assert [g[:2] for g in got] == want
