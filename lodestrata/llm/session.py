@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing refers to any more. Spark deletes them once the driver's
+    garbage collection finds them, which on a driver with room to spare may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders that are no longer read, on whatever file system they are."""
     for path in paths:
