@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import mixing, packing, probminhash, quality, toxicity
 from lodestrata.llm.op2 import THRESHOLD
-from lodestrata.llm.session import remove, shared_folder, table
+from lodestrata.llm.session import release, remove, shared_folder, table
 
 #: Target shares of tokens by language. English keeps its own, the others are repeated to follow.
 LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
@@ -96,4 +96,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
             remove(spark, f"{folder}/{k - 1}")
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
