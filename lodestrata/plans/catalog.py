@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import common, objects_queries, perception_queries, relations_queries, tracking_queries
+from lodestrata.plans import common, composed_queries, objects_queries, perception_queries, relations_queries, tracking_queries
 from lodestrata.plans.common import Views
 
-MODULES = (objects_queries, relations_queries, perception_queries, tracking_queries)
+MODULES = (composed_queries, objects_queries, relations_queries, perception_queries, tracking_queries)
 QUERIES, ORACLE_SQL = common.QUERIES, common.ORACLE_SQL
 
 
