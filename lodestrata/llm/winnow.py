@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 K, W = 16, 32
 #: Code points that a gram or window of a place reaches beyond it.
 REACH = K + W - 2
+#: Code points from a border on that hold all windows of the places less than ``W - 1`` beyond it.
+EDGE = REACH + W - 1
 CHUNK = 1 << 12
 _POSITIONS = (1 << 32) - 1
 _HIGH = _POSITIONS >> 1 << 32
@@ -55,15 +57,16 @@ def _windows(chunk: str, base: str, only: str) -> str:
     while m < K:
         steps.append((f"zip_with({_later(f'h{m}', m)}, h{m}, (x, y) -> shiftleft(x, {m}) ^ y)", f"h{2 * m}"))
         m *= 2
-    steps.append((f"{_POSITIONS}L - {base}", "top"))
-    grams = f"slice(h{K}, {K}, greatest(0, char_length({chunk}) - {K - 1}))"
-    steps.append((f"transform({grams}, (h, i) -> (h & {_HIGH}L) + (top - i))", "m1"))
+    # the gram that ends at entry j starts K - 1 before it; entries before the first gram stay null
+    places = f"sequence({_POSITIONS + K - 1}L - {base}, {_POSITIONS + K}L - {base} - size(h1), -1L)"
+    steps.append((f"zip_with(h{K}, {places}, (h, at) -> (h & {_HIGH}L) | at)", "m1"))
     m = 1
     while m < W:
         steps.append((f"zip_with({_later(f'm{m}', m)}, m{m}, (x, y) -> least(x, y))", f"m{2 * m}"))
         m *= 2
-    count = f"greatest(if({only}, least(1, size(m1)), 0), size(m1) - {W - 1})"
-    body = f"array_distinct(slice(m{W}, greatest(1, least({W}, size(m1))), {count}))"
+    grams = f"(size(h1) - {K - 1})"
+    count = f"greatest(if({only}, least(1, {grams}), 0), {grams} - {W - 1})"
+    body = f"array_distinct(slice(m{W}, greatest(1, least({K + W - 1}, size(h1))), {count}))"
     for value, name in reversed(steps):
         body = _let(value, name, body)
     return body
@@ -158,7 +161,8 @@ def edit_and_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     ``edited`` is the text whose last quarter of code points gives way to as many first ones
     of the next document by id (all of them if it is shorter). Its kept grams up to the edit are
-    the text's own; only what follows, with the reach of a window before it, is hashed again.
+    the text's own, and those inside a long enough piece of the next document are that document's,
+    moved; only what windows see of the two borders of the piece is hashed again.
     Null text counts as empty, null ids come first; repeated rows follow each other; very long
     texts are taken whole; no rows give no rows; ids that are no whole numbers raise an error
     (ANSI); other columns are ignored whatever their names.
@@ -179,13 +183,33 @@ def edit_and_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows = rows.withColumn("n", F.length("text")).withColumn("quarter", F.floor(F.col("n") / 4).cast("int"))
     rows = rows.withColumn("stays", F.col("n") - F.col("quarter"))
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("stays")), F.substring(F.col("next"), F.lit(1), F.col("quarter")))).drop("next")
+    rows = rows.withColumn("took", F.length("edited") - F.col("stays"))
     # windows from ``same`` on reach into what was edited
     rows = rows.withColumn("same", F.greatest(F.lit(0), F.col("stays") - REACH))
     rows = rows.withColumn("again", F.greatest(F.lit(0), F.col("same") - (W - 1)))
-    rows = rows.withColumn("rest", F.substring(F.col("edited"), F.col("again") + 1, F.length("edited")))
-    rows = rows.withColumn("rest_kept", kept_grams("rest", "again", "(same > 0)")).drop("rest", "again")
-    up_to = F.filter("kept", lambda p: F.lit(_POSITIONS) - p.bitwiseAND(F.lit(_POSITIONS)) < F.col("same"))
-    rows = rows.withColumn("edited_kept", F.array_distinct(F.concat(up_to, F.col("rest_kept"))))
+    # of a long piece its two borders are hashed, [again, stays + EDGE) and the last EDGE code points
+    long = F.col("took") >= 2 * EDGE
+    border = F.when(long, F.col("stays") + EDGE - F.col("again")).otherwise(F.length("edited"))
+    rows = rows.withColumns({"rest": F.substring(F.col("edited"), F.col("again") + 1, border), "ending": F.when(long, F.right("edited", F.lit(EDGE))).otherwise("")})
+    rows = rows.withColumns({"rest_kept": kept_grams("rest", "again", "(same > 0)"), "ending_kept": kept_grams("ending", f"(stays + took - {EDGE})", "true")}).drop("rest", "ending")
+
+    def place(p: Column) -> Column:
+        return F.lit(_POSITIONS) - p.bitwiseAND(F.lit(_POSITIONS))
+
+    # places of the piece, counted in the next document, whose windows all lie inside the piece
+    first, last = F.lit(W - 1), F.col("took") - (REACH + 1)
+    up_to = F.filter("kept", lambda p: place(p) < F.col("same"))
+    inside = F.filter("next_kept", lambda p: place(p).between(first, last))
+    parts = F.when(
+        long,
+        F.concat(
+            up_to,
+            F.filter("rest_kept", lambda p: place(p) < F.col("stays") + first),
+            F.transform(inside, lambda p: p - F.col("stays")),
+            F.filter("ending_kept", lambda p: place(p) > F.col("stays") + last),
+        ),
+    ).otherwise(F.concat(up_to, F.col("rest_kept")))
+    rows = rows.withColumn("edited_kept", F.array_distinct(parts))
     rows = rows.withColumn("own_hashes", hashes(F.col("kept")))
     return rows.select(
         "doc_id",

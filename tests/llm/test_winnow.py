@@ -48,7 +48,10 @@ def jaccard(a, b):
 
 def texts_of(rng):
     texts = ["", None, "  \n", "one", "sixteen letters!", "Été\tà la  mer " * 20, "a" * 300, "ab" * 90, "日本語の文章" * 40, "😀é" * 60]
-    return texts + ["".join(rng.choice("abcdeé 😀\n") for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    texts += ["".join(rng.choice("abcdeé 😀\n") for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    # long ones, whose edits keep grams of the next text, ties included
+    texts += ["".join(rng.choice("abé 😀\n" if k % 2 else "ab") for _ in range(rng.randint(500, 1500))) for k in range(60)]
+    return texts + ["a" * 1200, "ab" * 700, "日本語の文章" * 150]
 
 
 @pytest.mark.parametrize("chunk", [64, 1 << 12])
