@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geometry as G
@@ -15,16 +15,18 @@ from lodestrata.operators import clouds
 _CELL = ("vx", "vy", "vz")
 
 
-def integrate(depth: DataFrame, frames: DataFrame, voxel: float = 0.01, truncation: float = 0.04, max_depth: float = 10.0, height: int = 680, width: int = 1200) -> DataFrame:
-    """(vx, vy, vz, sdf, weight [, r, g, b]) from depth pixels and the frames' cameras and poses.
+def integrate(depth: DataFrame, frames: DataFrame, voxel: float = 0.01, truncation: float = 0.04, max_depth: float = 10.0, height: int = 680, width: int = 1200, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, vx, vy, vz, sdf, weight [, r, g, b]) from depth pixels and the frames' cameras and poses.
+
+    ``keys`` are columns of ``depth`` (object_id, det_idx) that each get a field of their own.
 
     Candidates are the voxels around surface points within the truncation; each is projected into
     the frame that proposed it and takes depth minus its own distance, cut to the truncation.
     Voxels farther behind the surface than that take nothing. Means over frames; ``weight``
     counts them, so fields of separate batches merge by weighted means.
     """
-    surface = clouds.from_depth(depth.select("frame_idx", "row", "col", "z"), frames, max_depth)
-    cells = surface.select("frame_idx", *[F.floor(F.col(a) / voxel).cast("int").alias(f"v{a}") for a in "xyz"]).distinct()
+    surface = clouds.from_depth(depth.select("frame_idx", *keys, "row", "col", "z"), frames, max_depth)
+    cells = surface.select("frame_idx", *keys, *[F.floor(F.col(a) / voxel).cast("int").alias(f"v{a}") for a in "xyz"]).distinct()
     reach = int(-(-truncation // voxel))
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     for c in _CELL:
@@ -34,10 +36,10 @@ def integrate(depth: DataFrame, frames: DataFrame, voxel: float = 0.01, truncati
     rows = rows.withColumn("p", G.transform(centre, F.col("view"))).where("p.z > 0")
     rows = rows.withColumn("col", F.round(F.col("p.x") * F.col("fx") / F.col("p.z") + F.col("cx")).cast("int")).withColumn("row", F.round(F.col("p.y") * F.col("fy") / F.col("p.z") + F.col("cy")).cast("int"))
     rows = rows.where(F.col("col").between(0, width - 1) & F.col("row").between(0, height - 1))
-    seen = rows.select("frame_idx", *_CELL, "row", "col", F.col("p.z").alias("own")).join(depth.where((F.col("z") > 0) & (F.col("z") < max_depth)), ["frame_idx", "row", "col"])
+    seen = rows.select("frame_idx", *keys, *_CELL, "row", "col", F.col("p.z").alias("own")).join(depth.where((F.col("z") > 0) & (F.col("z") < max_depth)), ["frame_idx", *keys, "row", "col"])
     signed = seen.withColumn("d", F.col("z") - F.col("own")).where(F.col("d") >= -truncation)
     colours = [F.avg(c).alias(c) for c in ("r", "g", "b") if c in depth.columns]
-    return signed.groupBy(*_CELL).agg(F.avg(F.least(F.lit(1.0), F.col("d") / truncation)).alias("sdf"), F.count("*").cast("double").alias("weight"), *colours)
+    return signed.groupBy(*keys, *_CELL).agg(F.avg(F.least(F.lit(1.0), F.col("d") / truncation)).alias("sdf"), F.count("*").cast("double").alias("weight"), *colours)
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -71,16 +73,18 @@ _TETRAHEDRA = [(0, a, a | b, 7) for a in (1, 2, 4) for b in (1, 2, 4) if a != b]
 TRIANGLES = "vx int, vy int, vz int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double"
 
 
-def mesh(field: DataFrame, voxel: float = 0.01) -> DataFrame:
-    """Triangles of the zero surface by marching tetrahedra, one row a triangle with its cube.
+def mesh(field: DataFrame, voxel: float = 0.01, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Triangles of the zero surface by marching tetrahedra, one row a triangle with its cube; with
+    ``keys`` a mesh for each of their values.
 
     A cube has its corners at eight voxel centres; cubes without all eight give nothing. Every
     voxel is sent to the cubes around it, so no cube needs more than its own rows.
     """
-    around = F.explode(F.array(*[F.struct(*[(F.col(c) - o).alias(c) for c, o in zip(_CELL, corner, strict=True)], F.lit(k).alias("k")) for k, corner in enumerate(_CORNERS)]))
+    around = F.explode(F.array(*[F.struct(*keys, *[(F.col(c) - o).alias(c) for c, o in zip(_CELL, corner, strict=True)], F.lit(k).alias("k")) for k, corner in enumerate(_CORNERS)]))
     sent = field.select(around.alias("q"), "sdf").select("q.*", "sdf")
-    cubes = sent.groupBy(*_CELL).agg(*[F.max(F.when(F.col("k") == k, F.col("sdf"))).alias(f"s{k}") for k in range(8)])
-    full = cubes.where(F.greatest(*[f"s{k}" for k in range(8)]) > 0).where(F.least(*[f"s{k}" for k in range(8)]) <= 0).dropna()
+    cubes = sent.groupBy(*keys, *_CELL).agg(*[F.max(F.when(F.col("k") == k, F.col("sdf"))).alias(f"s{k}") for k in range(8)])
+    full = cubes.where(F.greatest(*[f"s{k}" for k in range(8)]) > 0).where(F.least(*[f"s{k}" for k in range(8)]) <= 0).dropna(subset=[f"s{k}" for k in range(8)])
+    kinds = dict(full.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         corners = np.array(_CORNERS, dtype=float)
@@ -109,15 +113,38 @@ def mesh(field: DataFrame, voxel: float = 0.01) -> DataFrame:
                         one, others = (low[0], high) if len(low) == 1 else (high[0], low)
                         made = [tuple(cut(one, o) for o in others)]
                     for triangle in made:
-                        yield pd.DataFrame(np.hstack([base[hit], *triangle]), columns=[c.split()[0] for c in TRIANGLES.split(", ")]).astype({c: "int32" for c in _CELL})
+                        made_rows = pd.DataFrame(np.hstack([base[hit], *triangle]), columns=[c.split()[0] for c in TRIANGLES.split(", ")]).astype({c: "int32" for c in _CELL})
+                        yield made_rows.assign(**{k: batch[k].to_numpy()[hit] for k in keys})
 
-    return full.mapInPandas(run, TRIANGLES)
+    return full.mapInPandas(run, ", ".join([TRIANGLES, *[f"`{k}` {kinds[k]}" for k in keys]]))
 
 
-def mesh_statistics(triangles: DataFrame) -> DataFrame:
-    """One row: triangles, area, and the volume of the box around them."""
+def _cross() -> list[Column]:
+    """The normal of a triangle, as long as twice its area."""
     e, f = ([F.col(f"{a}{k}") - F.col(f"{a}0") for a in "xyz"] for k in (1, 2))
-    cross = [e[1] * f[2] - e[2] * f[1], e[2] * f[0] - e[0] * f[2], e[0] * f[1] - e[1] * f[0]]
+    return [e[1] * f[2] - e[2] * f[1], e[2] * f[0] - e[0] * f[2], e[0] * f[1] - e[1] * f[0]]
+
+
+def vertex_normals(triangles: DataFrame, keys: tuple[str, ...] = (), places: int = 9) -> DataFrame:
+    """(keys, x, y, z, nx, ny, nz): each vertex of a mesh with the mean direction of its triangles,
+    weighed by area and turned so that its largest part is positive, as triangles have no common
+    winding. Vertices are alike that agree to ``places`` decimals; one of no direction gets
+    (0, 0, 1). A vertex lies in few triangles, whatever the size of the mesh.
+    """
+    cross = _cross()
+    side = F.greatest(*[F.abs(c) for c in cross])
+    lead = F.when(F.abs(cross[0]) == side, cross[0]).when(F.abs(cross[1]) == side, cross[1]).otherwise(cross[2])
+    turned = [F.when(lead < 0, -c).otherwise(c).alias(f"n{a}") for c, a in zip(cross, "xyz", strict=True)]
+    corners = F.explode(F.array(*[F.struct(*[F.round(F.col(f"{a}{k}"), places).alias(a) for a in "xyz"]) for k in range(3)]))
+    rows = triangles.select(*keys, corners.alias("v"), *turned).groupBy(*keys, "v").agg(*[F.sum(f"n{a}").alias(f"n{a}") for a in "xyz"])
+    size = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
+    rest = {"nx": 0.0, "ny": 0.0, "nz": 1.0}
+    return rows.select(*keys, "v.*", *[F.when(size > 0, F.col(c) / size).otherwise(F.lit(z)).alias(c) for c, z in rest.items()])
+
+
+def mesh_statistics(triangles: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Triangles, area, and the volume of the box around them, of each mesh (one row without keys)."""
+    cross = _cross()
     area = F.sqrt(sum((c * c for c in cross[1:]), cross[0] * cross[0])) / 2
     sides = [F.max(F.greatest(*[f"{a}{k}" for k in range(3)])) - F.min(F.least(*[f"{a}{k}" for k in range(3)])) for a in "xyz"]
-    return triangles.agg(F.count("*").alias("num_triangles"), F.sum(area).alias("area"), (sides[0] * sides[1] * sides[2]).alias("box_volume"))
+    return triangles.groupBy(*keys).agg(F.count("*").alias("num_triangles"), F.sum(area).alias("area"), (sides[0] * sides[1] * sides[2]).alias("box_volume"))

@@ -11,8 +11,10 @@ from lodestrata.operators import clouds as C
 from lodestrata.operators import graph as GR
 from lodestrata.operators import objects as O
 from lodestrata.operators import relations as R
+from lodestrata.operators import tsdf
 from lodestrata.plans.common import Views, query
 from lodestrata.plans.relations_queries import _NAME, _SURE, EDGES, PAIRS, edges_of
+from lodestrata.sources import scenes
 
 
 @query(
@@ -118,3 +120,39 @@ def object_colours(v: Views) -> DataFrame:
     rows = v.objects.select(G.colour_of(F.col("object_id")).alias("c"), G.colour_of(F.col("object_id") + 0).alias("d"))
     odd = (F.col("c") != F.col("d")) | ~F.col("c.r").between(0, 1) | ~F.col("c.g").between(0, 1) | ~F.col("c.b").between(0, 1)
     return rows.agg(F.count("*").alias("n"), F.count_if(odd).cast("int").alias("outside"))
+
+
+@query(
+    "dense_voxels",
+    """WITH cells AS (SELECT object_id, CAST(floor(x / 4) AS BIGINT) AS vx, CAST(floor(y / 4) AS BIGINT) AS vy, CAST(floor(z / 4) AS BIGINT) AS vz, count(*) AS n FROM v_points GROUP BY ALL),
+ least AS (SELECT object_id, quantile_cont(n, 0.25) AS q FROM cells GROUP BY object_id)
+SELECT object_id, vx, vy, vz, n FROM cells JOIN least USING (object_id) WHERE n >= q""",
+)
+def dense_voxels(v: Views) -> DataFrame:
+    """Cells with at least as many points as the lowest quarter of their object's."""
+    return C.dense(C.voxels(v.points, 4.0), 0.25).select("object_id", "vx", "vy", "vz", F.col("n").cast("long").alias("n"))
+
+
+@query("objects_from_json", "SELECT object_id, label, status, num_observations, num_points, round(confidence, 6) AS confidence, round(cx, 6) AS cx, round(d, 6) AS d FROM v_objects")
+def objects_from_json(v: Views) -> DataFrame:
+    """Objects written as JSON and read again."""
+    schema = "object_id long, label string, status string, num_observations int, num_points long, confidence double, bbox STRUCT<cx: DOUBLE, d: DOUBLE>"
+    rows = scenes.from_dicts(scenes.to_dicts(v.objects), schema)
+    return rows.select("object_id", "label", "status", "num_observations", "num_points", F.round("confidence", 6).alias("confidence"), F.round("bbox.cx", 6).alias("cx"), F.round("bbox.d", 6).alias("d"))
+
+
+@query("array_shapes", "SELECT object_id, 'clouds/obj_' || CASE WHEN object_id < 1000 THEN lpad(CAST(object_id AS VARCHAR), 3, '0') ELSE CAST(object_id AS VARCHAR) END || '_colors.npy' AS path, CAST(count(*) AS INT) AS n, 3 AS width FROM v_points GROUP BY object_id")
+def array_shapes(v: Views) -> DataFrame:
+    """The files of the objects' colours."""
+    return scenes.to_npy(v.points, "colors", "clouds").select("object_id", "path", F.col("shape")[0].alias("n"), F.col("shape")[1].alias("width"))
+
+
+@query("object_meshes")
+def object_meshes(v: Views) -> DataFrame:
+    """A mesh for each mask number, out of the depth that its masks cover."""
+    depth = v.mask_pixels.join(v.depth, ["frame_idx", "row", "col"])
+    unit = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
+    frames = depth.select("frame_idx").distinct().select("frame_idx", *[F.lit(x).alias(n) for n, x in (("fx", 6.0), ("fy", 6.0), ("cx", 4.5), ("cy", 4.5))], unit.alias("pose"))
+    keys = ("det_idx",)
+    field = tsdf.integrate(depth, frames, 0.2, 0.4, 10.0, 16, 16, keys)
+    return tsdf.mesh_statistics(tsdf.mesh(field, 0.2, keys), keys).select("det_idx", "num_triangles", F.round("area", 6).alias("area"), F.round("box_volume", 6).alias("box_volume"))

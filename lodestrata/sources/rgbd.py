@@ -142,5 +142,22 @@ def color_images(frames_: DataFrame) -> DataFrame:
     return frames_.select("frame_idx", F.regexp_extract("color_path", r"([^/]*)$", 1).alias("_n")).join(images.withColumn("_n", place), "_n").drop("_n")
 
 
+def color_pixels(frames_: DataFrame, images: DataFrame) -> DataFrame:
+    """(frame_idx, row, col, r, g, b) in 0..1: the images (as ``color_images`` gives them) resized
+    between pixels to the frame's size; grey ones have three equal parts."""
+    rows = frames_.select("frame_idx", "height", "width").join(images.select("frame_idx", "image"), "frame_idx")
+    rows = rows.select("frame_idx", "height", "width", F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("data"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                bgr = bilinear(np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, r.n), r.height, r.width).reshape(-1, r.n) / 255.0
+                bgr = bgr[:, :3] if r.n >= 3 else np.repeat(bgr[:, :1], 3, axis=1)
+                row, col = np.indices((r.height, r.width))
+                yield pd.DataFrame({"frame_idx": r.frame_idx, "row": row.ravel(), "col": col.ravel(), "r": bgr[:, 2], "g": bgr[:, 1], "b": bgr[:, 0]})
+
+    return rows.mapInPandas(run, "frame_idx int, row int, col int, r double, g double, b double")
+
+
 def camera_params(frames_: DataFrame) -> DataFrame:
     return frames_.select("frame_idx", "fx", "fy", "cx", "cy", "width", "height")

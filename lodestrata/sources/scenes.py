@@ -93,6 +93,12 @@ def to_dicts(objects: DataFrame) -> DataFrame:
     return objects.select("object_id", F.to_json(F.struct(*objects.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def from_dicts(rows: DataFrame, schema: str) -> DataFrame:
+    """Objects of their JSON strings (column ``value``), by a DDL schema; a field that a string
+    lacks is null, and a string that is no JSON gives a row of nulls."""
+    return rows.select(F.from_json("value", schema).alias("o")).select("o.*")
+
+
 def read_npy(spark: SparkSession, path: str, names: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """(path, index, names...) of two-dimensional .npy arrays of a folder."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
@@ -106,14 +112,28 @@ def read_npy(spark: SparkSession, path: str, names: tuple[str, ...] = ("x", "y",
     return raw.mapInPandas(run, "path string, index long, " + ", ".join(f"{n} double" for n in names))
 
 
-def to_npy(points: DataFrame, names: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """(object_id, name, shape, content): each object's array as the bytes of a .npy file, float32."""
+#: What is kept of an object as arrays, and the columns of each.
+ARRAYS = {"points": ("x", "y", "z"), "colors": ("r", "g", "b"), "features": ("embedding",)}
+
+
+def to_npy(points: DataFrame, kind: str = "points", folder: str = "") -> DataFrame:
+    """(object_id, name, path, shape, content): each object's rows of a kind of array as the bytes of
+    a .npy file, float32; features are vectors, one a row. Rows of an object make one file."""
+    names = ARRAYS[kind]
 
     def run(cloud: pd.DataFrame) -> pd.DataFrame:
-        array = cloud[list(names)].to_numpy(np.float32)
+        array = np.stack([np.asarray(v, np.float32) for v in cloud[names[0]]]) if kind == "features" else cloud[list(names)].to_numpy(np.float32)
         out = io.BytesIO()
         np.save(out, array)
         k = int(cloud["object_id"].iloc[0])
-        return pd.DataFrame({"object_id": [k], "name": [f"obj_{k:03d}_points.npy"], "shape": [list(array.shape)], "content": [out.getvalue()]})
+        name = f"obj_{k:03d}_{kind}.npy"
+        return pd.DataFrame({"object_id": [k], "name": [name], "path": [f"{folder}/{name}" if folder else name], "shape": [list(array.shape)], "content": [out.getvalue()]})
+
+    return points.select("object_id", *names).dropna().groupBy("object_id").applyInPandas(run, "object_id long, name string, path string, shape array<int>, content binary")
+
 
-    return points.select("object_id", *names).groupBy("object_id").applyInPandas(run, "object_id long, name string, shape array<int>, content binary")
+def with_arrays(objects: DataFrame, files: dict[str, DataFrame]) -> DataFrame:
+    """Objects with ``<kind>_path`` and ``<kind>_shape`` of their files; null where they have none."""
+    for kind, rows in files.items():
+        objects = objects.join(rows.select("object_id", F.col("path").alias(f"{kind}_path"), F.col("shape").alias(f"{kind}_shape")), "object_id", "left")
+    return objects

@@ -320,3 +320,94 @@ def test_tracker_against_a_plain_one():
                 t["misses"] = 0 if t["id"] in taken else t["misses"] + 1
             plain = [t for t in plain if t["misses"] < 3]
             assert [g[:2] for g in got] == want
+
+
+def test_meshes_of_objects_and_normals_of_vertices(spark):
+    def ball(x, y, z, r):
+        return ((x - 6) ** 2 + (y - 6) ** 2 + (z - 6) ** 2) ** 0.5 - r
+
+    grid = [(x, y, z) for x in range(13) for y in range(13) for z in range(13)]
+    schema = "object_id long, vx int, vy int, vz int, sdf double, weight double"
+    field = spark.createDataFrame([(k, *c, ball(*c, r), 1.0) for k, r in ((1, 4.3), (2, 2.6)) for c in grid], schema)
+    both = tsdf.mesh(field, 1.0, ("object_id",))
+    found = {r.object_id: r for r in tsdf.mesh_statistics(both, ("object_id",)).collect()}
+    for k in (1, 2):
+        alone = tsdf.mesh_statistics(tsdf.mesh(field.where(f"object_id = {k}"), 1.0)).first()
+        assert found[k].num_triangles == alone.num_triangles and found[k].area == pytest.approx(alone.area)
+    normals = tsdf.vertex_normals(both, ("object_id",)).where("object_id = 1").collect()
+    assert normals
+    for r in normals:
+        out = np.array([r.x, r.y, r.z]) - 6.5
+        n = np.array([r.nx, r.ny, r.nz])
+        assert np.linalg.norm(n) == pytest.approx(1)
+        side = np.sort(np.abs(out / np.linalg.norm(out)))
+        if side[2] - side[1] > 0.2:  # elsewhere triangles of one vertex may turn apart
+            assert abs(n @ out) / np.linalg.norm(out) > 0.9
+    assert tsdf.vertex_normals(both.where("false"), ("object_id",)).count() == 0
+
+
+def test_dense_and_null_weights(spark):
+    rows = [(1, float(k), 0.0, 0.0, k) for k in range(5)] + [(2, 0.0, 0.0, 0.0, None), (None, 1.0, 1.0, 1.0, 7)]
+    df = spark.createDataFrame(rows, "object_id long, x double, y double, z double, n int")
+    got = clouds.dense(df, 0.5).collect()
+    assert sorted((r.object_id or 0, r.n) for r in got) == [(0, 7), (1, 2), (1, 3), (1, 4)]
+
+
+def test_crops_captions_and_prompts(spark):
+    from lodestrata.operators import providers
+
+    class Sizes:
+        def caption(self, crops):
+            assert len(crops) <= 2
+            return [f"{len(c)} bytes" if len(c) > 12 else None for c in crops]
+
+        def segment(self, image, boxes, points):
+            if boxes is None:
+                return np.zeros((0, 2, 2)), np.zeros((0, 4)), np.zeros(0)
+            return np.ones((len(boxes), 2, 2)), np.array(boxes), np.full(len(boxes), len(points or []) / 10)
+
+    providers.register("sizes")(Sizes)
+    pixels = np.arange(5 * 7 * 3, dtype=np.uint8).reshape(5, 7, 3)
+    image = "image STRUCT<origin: STRING, height: INT, width: INT, nChannels: INT, mode: INT, data: BINARY>"
+    images = spark.createDataFrame([(0, ("a", 5, 7, 3, 16, pixels.tobytes()))], f"frame_idx int, {image}")
+    boxes = [(0, 0, (2.0, 1.0, 4.0, 3.0)), (0, 1, (-3.0, -3.0, 1.5, 1.0)), (0, 2, (9.0, 9.0, 9.0, 9.0)), (0, 3, None), (1, 0, (0.0, 0.0, 2.0, 2.0))]
+    detections = spark.createDataFrame(boxes, "frame_idx int, det_idx int, bbox STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>")
+    made = providers.crops(detections, images, 0.5)
+    got = {(r.frame_idx, r.det_idx): r for r in made.collect()}
+    assert len(got) == 5 and bytes(got[0, 0].crop) == pixels[0:3, 1:4].tobytes() and (got[0, 0].crop_height, got[0, 0].crop_width) == (3, 3)
+    assert bytes(got[0, 1].crop) == pixels[0:1, 0:2].tobytes()
+    assert all(got[k].crop is None for k in ((0, 2), (0, 3), (1, 0)))
+    said = {(r.frame_idx, r.det_idx): r.caption for r in providers.caption(made, "sizes", batch_size=2).collect()}
+    assert said == {(0, 0): "27 bytes", (0, 1): None, (0, 2): None, (0, 3): None, (1, 0): None}
+    vectors = providers.embed(made.where("crop IS NOT NULL"), "hashed-words", "crop", images=True, batch_size=1).collect()
+    assert len(vectors) == 2 and len(vectors[0].embedding) == 64
+    frames = spark.createDataFrame([(0, b"x", [[0.0, 0.0, 2.0, 2.0]], [[1.0, 1.0]]), (1, b"y", None, None)], "frame_idx int, color binary, boxes array<array<double>>, points array<array<double>>")
+    found = providers.segment(frames, "sizes", min_area=1).collect()
+    assert [(r.frame_idx, r.x2, r.score, r.area) for r in found] == [(0, 2.0, 0.1, 4)]
+    with pytest.raises(ValueError):
+        providers.caption(made, "unknown")
+
+
+def test_arrays_of_objects(spark, tmp_path):
+    rows = [(1, [0.5, 1.0], 0.1, 0.2, 0.3), (1, [2.0, 3.0], 0.4, 0.5, 0.6), (2, None, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "object_id long, embedding array<double>, r double, g double, b double")
+    files = {kind: scenes.to_npy(df, kind, str(tmp_path)) for kind in ("features", "colors")}
+    got = {r.object_id: r for r in scenes.with_arrays(df.select("object_id").distinct(), files).collect()}
+    assert got[1].features_shape == [2, 2] and got[1].colors_shape == [2, 3] and got[1].colors_path.endswith("obj_001_colors.npy") and got[2].features_path is None
+    file = files["features"].first()
+    (tmp_path / file["name"]).write_bytes(file.content)
+    assert [(r.a, r.b) for r in scenes.read_npy(spark, str(tmp_path), ("a", "b")).orderBy("index").collect()] == [(0.5, 1.0), (2.0, 3.0)]
+    back = scenes.from_dicts(scenes.to_dicts(df), "object_id long, r double, other string").orderBy("object_id", "r").collect()
+    assert [(r.object_id, r.r, r.other) for r in back] == [(1, 0.1, None), (1, 0.4, None), (2, None, None)]
+
+
+def test_colour_pixels(spark):
+    pixels = np.random.default_rng(3).integers(0, 255, (4, 6, 3)).astype(np.uint8)
+    image = "image STRUCT<origin: STRING, height: INT, width: INT, nChannels: INT, mode: INT, data: BINARY>"
+    images = spark.createDataFrame([(0, ("a", 4, 6, 3, 16, pixels.tobytes())), (1, ("b", 4, 6, 1, 0, pixels[:, :, 0].tobytes()))], f"frame_idx int, {image}")
+    same = spark.createDataFrame([(0, 4, 6), (1, 2, 3)], "frame_idx int, height int, width int")
+    got = rgbd.color_pixels(same, images).collect()
+    whole = {(r.row, r.col): r for r in got if r.frame_idx == 0}
+    assert len(whole) == 24 and all(whole[y, x].b == pytest.approx(pixels[y, x, 0] / 255) and whole[y, x].r == pytest.approx(pixels[y, x, 2] / 255) for y in range(4) for x in range(6))
+    half = [r for r in got if r.frame_idx == 1]
+    assert len(half) == 6 and half[0].r == half[0].g == pytest.approx(pixels[:2, :2, 0].mean() / 255)
