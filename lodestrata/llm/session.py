@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that nothing refers to any more. Spark deletes them once the driver's
-    garbage collection finds them, which on a driver with room to spare may be long after."""
-    gc.collect()
-    spark._jvm.System.gc()
+    garbage collection finds them, which on a driver with room to spare may be long after. What
+    ended last is still held by Spark's queues of events; a small job, twice, takes its place."""
+    for _ in range(2):
+        gc.collect()
+        spark.range(8).repartition(2).count()
+        time.sleep(0.2)  # until its events are handled
+        spark._jvm.System.gc()
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
