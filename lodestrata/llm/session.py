@@ -38,8 +38,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that nothing refers to any more. Spark deletes them once the driver's
-    garbage collection finds them, which on a driver with room to spare may be long after. What
-    ended last is still held by Spark's queues of events; a small job, twice, takes its place."""
+    garbage collection finds them, which on a driver with room to spare may be long after. As
+    measured, one collection leaves the files of the query that ended last (probably held by the
+    last events); a small job and a second collection free them."""
     for _ in range(2):
         gc.collect()
         spark.range(8).repartition(2).count()
