@@ -6,15 +6,159 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions import geometry as G
-from lodestrata.operators import clouds
-
 _CELL = ("vx", "vy", "vz")
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Rounded to whole numbers, halves away from zero."""
+    t = np.trunc(x)
+    return t + np.copysign((np.abs(x - t) >= 0.5).astype(float), x)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order (np.unique hashes, which is slower for so many new values)."""
+    x = np.sort(x, axis=None)
+    return x[np.append(True, x[1:] != x[:-1])]
+
+
+def _seen(camera: tuple, group: np.ndarray, row: np.ndarray, col: np.ndarray, z: np.ndarray, voxel: float, truncation: float, height: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the pixel, voxel as three columns, signed distance) of all voxels of one frame that
+    take something; ``group`` parts its pixels into fields."""
+    fx, fy, cx, cy, p = camera
+    here = (col - cx) * z / fx, (row - cy) * z / fy, z
+    cells = np.stack([np.floor((p[4 * k] * here[0] + p[4 * k + 1] * here[1] + p[4 * k + 2] * here[2] + p[4 * k + 3]) / voxel) for k in range(3)]).astype(np.int64)
+    reach = int(-(-truncation // voxel))
+    low = cells.min(axis=1) - reach
+    bits = [int(n).bit_length() for n in cells.max(axis=1) + reach - low]
+    shift = [bits[1] + bits[2], bits[2], 0]
+    if int(group.max()).bit_length() + sum(bits) > 62:
+        raise ValueError("the points of a frame are too far apart for the size of a voxel")
+    code = group << sum(bits)
+    for k in range(3):
+        code = code | (cells[k] - low[k]) << shift[k]
+    code = _distinct(code)
+    for k in (2, 1, 0):
+        code = _distinct(code[:, None] + (np.arange(-reach, reach + 1) << shift[k]))
+    v = [(code >> shift[k] & (1 << bits[k]) - 1) + low[k] for k in range(3)]
+    # the inverse of the pose: turned rotation, turned-back translation
+    c = [(x + 0.5) * voxel for x in v]
+    q = [p[j] * c[0] + p[4 + j] * c[1] + p[8 + j] * c[2] - (p[j] * p[3] + p[4 + j] * p[7] + p[8 + j] * p[11]) for j in range(3)]
+    ahead = np.flatnonzero(q[2] > 0)
+    own = q[2][ahead]
+    at_col, at_row = _whole(q[0][ahead] * fx / own + cx), _whole(q[1][ahead] * fy / own + cy)
+    inside = (at_col >= 0) & (at_col < width) & (at_row >= 0) & (at_row < height)
+    ahead, own = ahead[inside], own[inside]
+    asked = ((code[ahead] >> sum(bits)) * height + at_row[inside].astype(np.int64)) * width + at_col[inside].astype(np.int64)
+    pixel = (group * height + row) * width + col
+    pixel[(row < 0) | (row >= height) | (col < 0) | (col >= width)] = -1  # no voxel asks for these
+    order = np.argsort(pixel, kind="stable")
+    first = np.searchsorted(pixel[order], asked)
+    times = np.searchsorted(pixel[order], asked, side="right") - first
+    found = np.repeat(np.arange(len(asked)), times)
+    place = order[np.arange(len(found)) - np.repeat(np.cumsum(times) - times, times) + first[found]]
+    d = z[place] - own[found]
+    near = d >= -truncation
+    return place[near], np.stack([x[ahead[found[near]]] for x in v], axis=1), d[near]
+
+
+#: Distances are added up in whole units, so that sums, and signs next to 0, are the same in any order.
+_UNIT = 1 << 36
+#: Rows of partial sums that a task holds before it adds up those of a voxel, and before it hands them on.
+_HELD, _SUMS = 1 << 20, 1 << 19
+
+
+def _partial(voxel: float, truncation: float, height: int, width: int, keys: tuple[str, ...], colours: list[str]):
+    """Sums by key and voxel of rows of one frame after another, a frame's camera first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, camera, held = None, None, []
+        seen, rows, known = [], 0, pa.table({k: [] for k in keys})
+
+        def of_frame() -> None:
+            """The voxels of the frame that is complete."""
+            nonlocal rows, known
+            table = pa.Table.from_batches(held)
+            column = {n: table.column(n).to_numpy().astype(t) for n, t in (("row", np.int64), ("col", np.int64), ("z", float))}
+            group, base = np.zeros(len(table), dtype=np.int64), len(known)
+            if keys:
+                own = table.select(keys).append_column("_n", pa.array(np.arange(len(table)))).group_by(list(keys)).aggregate([("_n", "list")])
+                lists = own.column("_n_list").combine_chunks()
+                group[lists.flatten().to_numpy()] = np.repeat(np.arange(len(own)), np.diff(lists.offsets.to_numpy()))
+                own = own.select(keys)
+                known = pa.concat_tables([known, own]) if base else own
+            place, cell, d = _seen(camera, group, column["row"], column["col"], column["z"], voxel, truncation, height, width)
+            sums = [np.rint(np.minimum(1.0, d / truncation) * _UNIT).astype(np.int64), np.ones(len(d), dtype=np.int64)]
+            for c in colours:
+                value = table.column(c).cast(pa.float64()).combine_chunks()
+                sums += [value.fill_null(0.0).to_numpy()[place], value.is_valid().to_numpy(zero_copy_only=False)[place].astype(float)]
+            seen.append((group[place] + base, cell, *sums))
+            rows += len(d)
+
+        def added() -> None:
+            """Sums of equal voxels as one row."""
+            nonlocal seen, rows, known
+            group, cell, *sums = (np.concatenate([x[k] for x in seen]) for k in range(len(seen[0])))
+            if keys and len(known):
+                # equal keys of several frames are one
+                named = known.append_column("_n", pa.array(np.arange(len(known)))).group_by(list(keys)).aggregate([("_n", "list")])
+                lists = named.column("_n_list").combine_chunks()
+                one = np.zeros(len(known), dtype=np.int64)
+                one[lists.flatten().to_numpy()] = np.repeat(np.arange(len(named)), np.diff(lists.offsets.to_numpy()))
+                group, known = one[group], named.select(keys)
+            if len(group):
+                low = cell.min(axis=0)
+                bits = [int(n).bit_length() for n in cell.max(axis=0) - low]
+                if int(group.max()).bit_length() + sum(bits) > 62:
+                    _, code = np.unique(np.column_stack([group, cell]), axis=0, return_inverse=True)
+                else:
+                    code = ((group << bits[0] | cell[:, 0] - low[0]) << bits[1] | cell[:, 1] - low[1]) << bits[2] | cell[:, 2] - low[2]
+                order = np.argsort(code)
+                start = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+                sums = [np.add.reduceat(x[order], start) for x in sums]
+                group, cell = group[order[start]], cell[order[start]]
+            seen, rows = [(group, cell, *sums)], len(group)
+
+        def given() -> pa.RecordBatch:
+            group, cell, *sums = seen[0]
+            columns = [known.column(k).combine_chunks().take(pa.array(group)) for k in keys] + [pa.array(cell[:, k].astype(np.int32)) for k in range(3)] + [pa.array(x) for x in sums]
+            return pa.RecordBatch.from_arrays(columns, [*keys, *_CELL, *[f"s{k}" for k in range(len(sums))]])
+
+        for got in batches:
+            frames = got.column("frame_idx").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(frames[1:] != frames[:-1]) + 1).tolist(), len(got)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if at == end:
+                    continue
+                part = got.slice(at, end - at)
+                if frames[at] != frame:
+                    if held and camera is not None:
+                        of_frame()
+                    frame, camera, held = frames[at], None, []
+                    if rows > _HELD:
+                        added()
+                        if rows > _SUMS:
+                            yield given()
+                            seen, rows, known = [], 0, pa.table({k: [] for k in keys})
+                if part.column("pose")[0].is_valid:
+                    if camera is not None or (len(part) > 1 and part.column("pose")[1].is_valid):
+                        raise ValueError("a frame has more than one camera")
+                    camera = tuple(float(part.column(c)[0].as_py()) for c in ("fx", "fy", "cx", "cy")) + (part.column("pose")[0].as_py(),)
+                    part = part.slice(1)
+                if len(part):
+                    held.append(part)
+        if held and camera is not None:
+            of_frame()
+        if seen:
+            added()
+            yield given()
+
+    return run
+
+
 def integrate(depth: DataFrame, frames: DataFrame, voxel: float = 0.01, truncation: float = 0.04, max_depth: float = 10.0, height: int = 680, width: int = 1200, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, vx, vy, vz, sdf, weight [, r, g, b]) from depth pixels and the frames' cameras and poses.
 
@@ -24,22 +168,23 @@ def integrate(depth: DataFrame, frames: DataFrame, voxel: float = 0.01, truncati
     the frame that proposed it and takes depth minus its own distance, cut to the truncation.
     Voxels farther behind the surface than that take nothing. Means over frames; ``weight``
     counts them, so fields of separate batches merge by weighted means.
+
+    A frame's pixels meet its camera in one task, which finds its candidates as sorted codes and
+    hands on sums by voxel: candidates, many times the pixels, are never shuffled. They are in
+    memory for one frame at a time.
     """
-    surface = clouds.from_depth(depth.select("frame_idx", *keys, "row", "col", "z"), frames, max_depth)
-    cells = surface.select("frame_idx", *keys, *[F.floor(F.col(a) / voxel).cast("int").alias(f"v{a}") for a in "xyz"]).distinct()
-    reach = int(-(-truncation // voxel))
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    for c in _CELL:
-        cells = cells.withColumn("_s", F.explode(steps)).withColumn(c, F.col(c) + F.col("_s")).drop("_s").distinct()
-    rows = cells.join(frames.select("frame_idx", "fx", "fy", "cx", "cy", G.inverse_pose(F.col("pose")).alias("view")), "frame_idx")
-    centre = F.struct(*[((F.col(c) + 0.5) * voxel).alias(a) for c, a in zip(_CELL, "xyz", strict=True)])
-    rows = rows.withColumn("p", G.transform(centre, F.col("view"))).where("p.z > 0")
-    rows = rows.withColumn("col", F.round(F.col("p.x") * F.col("fx") / F.col("p.z") + F.col("cx")).cast("int")).withColumn("row", F.round(F.col("p.y") * F.col("fy") / F.col("p.z") + F.col("cy")).cast("int"))
-    rows = rows.where(F.col("col").between(0, width - 1) & F.col("row").between(0, height - 1))
-    seen = rows.select("frame_idx", *keys, *_CELL, "row", "col", F.col("p.z").alias("own")).join(depth.where((F.col("z") > 0) & (F.col("z") < max_depth)), ["frame_idx", *keys, "row", "col"])
-    signed = seen.withColumn("d", F.col("z") - F.col("own")).where(F.col("d") >= -truncation)
-    colours = [F.avg(c).alias(c) for c in ("r", "g", "b") if c in depth.columns]
-    return signed.groupBy(*keys, *_CELL).agg(F.avg(F.least(F.lit(1.0), F.col("d") / truncation)).alias("sdf"), F.count("*").cast("double").alias("weight"), *colours)
+    colours = [c for c in ("r", "g", "b") if c in depth.columns]
+    rows = depth.where((F.col("z") > 0) & (F.col("z") < max_depth)).dropna(subset=[*keys, "row", "col"]).select("frame_idx", *keys, "row", "col", F.col("z").cast("double").alias("z"), *colours)
+    kinds = dict(rows.dtypes)
+    cameras = frames.select(F.col("frame_idx").cast(kinds["frame_idx"]), *[F.lit(None).cast(kinds[c]).alias(c) for c in rows.columns[1:]], *[F.col(c).cast("double").alias(c) for c in ("fx", "fy", "cx", "cy")], F.col("pose").cast("array<double>"))
+    both = rows.withColumns({c: F.lit(None).cast("double") for c in ("fx", "fy", "cx", "cy")} | {"pose": F.lit(None).cast("array<double>")}).unionByName(cameras).where("frame_idx IS NOT NULL")
+    sorted_ = both.repartition("frame_idx").sortWithinPartitions("frame_idx", F.col("z").isNotNull())  # cameras first
+    n = 2 + 2 * len(colours)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"{c} int" for c in _CELL], *[f"s{k} {'double' if k > 1 else 'long'}" for k in range(n)]])
+    sums = sorted_.mapInArrow(_partial(voxel, truncation, height, width, keys, colours), schema)
+    total = sums.groupBy(*keys, *_CELL).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(n)])
+    means = [F.try_divide(F.col(f"s{2 * k + 2}"), F.col(f"s{2 * k + 3}")).alias(c) for k, c in enumerate(colours)]
+    return total.select(*keys, *_CELL, (F.col("s0") / F.lit(_UNIT) / F.col("s1")).alias("sdf"), F.col("s1").cast("double").alias("weight"), *means)
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -206,6 +206,39 @@ def test_tsdf_plane(spark):
     assert tsdf.merge(field, field).agg(F.max("weight")).first()[0] == 2 * field.agg(F.max("weight")).first()[0]
 
 
+def test_tsdf_against_brute_force_in_any_order(spark):
+    rng = np.random.default_rng(11)
+    turn = 0.4
+    poses = [[np.cos(turn * k), -np.sin(turn * k), 0, 0.1 * k, np.sin(turn * k), np.cos(turn * k), 0, -0.2, 0, 0, 1, 0.337, 0, 0, 0, 1] for k in range(3)]
+    frames = spark.createDataFrame([(k, 20.0, 18.0, 4.5, 5.5, [float(x) for x in p]) for k, p in enumerate(poses)], "frame_idx long, fx double, fy double, cx double, cy double, pose array<double>")
+    rows = [(k, int(rng.integers(0, 2)), r, c, float(rng.choice([0.0, 0.9, 1.0, 1.3, 11.0])), float(rng.random()) if rng.random() < 0.8 else None) for k in range(4) for r in range(12) for c in range(10)]
+    depth = spark.createDataFrame(rows, "frame_idx long, det_idx int, row int, col int, z double, r double")
+    voxel, cut, want = 0.1, 0.25, {}
+    for k, pose in enumerate(poses):
+        for det in (0, 1):
+            own = {(r, c): (z, red) for f, d, r, c, z, red in rows if f == k and d == det and 0 < z < 10}
+            m = np.array(pose).reshape(4, 4)
+            cells = {tuple(np.floor((m @ [(c - 4.5) * z / 20, (r - 5.5) * z / 18, z, 1])[:3] / voxel).astype(int)) for (r, c), (z, _) in own.items()}
+            around = {(x + i, y + j, w + h) for x, y, w in cells for i in range(-3, 4) for j in range(-3, 4) for h in range(-3, 4)}
+            for v in around:
+                q = np.linalg.inv(m) @ [*((np.array(v) + 0.5) * voxel), 1]
+                if q[2] > 0:
+                    at = (int(np.floor(q[1] * 18 / q[2] + 5.5 + 0.5)), int(np.floor(q[0] * 20 / q[2] + 4.5 + 0.5)))
+                    if at in own and own[at][0] - q[2] >= -cut:
+                        want.setdefault((det, *v), []).append((min(1, (own[at][0] - q[2]) / cut), own[at][1]))
+    field = tsdf.integrate(depth, frames, voxel, cut, 10.0, 12, 10, ("det_idx",))
+    got = {(x.det_idx, x.vx, x.vy, x.vz): x for x in field.collect()}
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        reds = [x for _, x in values if x is not None]
+        assert got[key].weight == len(values) and got[key].sdf == pytest.approx(np.mean([x for x, _ in values]), abs=1e-9)
+        assert got[key].r == (pytest.approx(np.mean(reds)) if reds else None)
+    # candidates were rows that were shuffled before, and sums depended on the order of rows
+    assert "Generate" not in field._jdf.queryExecution().executedPlan().toString()
+    again = tsdf.integrate(depth.orderBy(F.desc("z"), "row").coalesce(1), frames, voxel, cut, 10.0, 12, 10, ("det_idx",)).collect()
+    assert {(x.det_idx, x.vx, x.vy, x.vz): x.sdf for x in again} == {k: x.sdf for k, x in got.items()}
+
+
 def test_rgbd_source(spark, tmp_path):
     results = tmp_path / "results"
     results.mkdir()
