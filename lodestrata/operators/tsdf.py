@@ -197,14 +197,17 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
 def surface_points(field: DataFrame, voxel: float = 0.01) -> DataFrame:
     """Points where the field changes sign between a voxel and its next one on an axis, by linear
     interpolation between their centres."""
-    out = None
-    for axis, c in enumerate(_CELL):
-        ahead = field.select(*[(F.col(k) - int(k == c)).alias(k) for k in _CELL], F.col("sdf").alias("next"))
-        met = field.select(*_CELL, "sdf").join(ahead, list(_CELL)).where((F.col("sdf") > 0) != (F.col("next") > 0))
-        share = F.col("sdf") / (F.col("sdf") - F.col("next"))
-        made = met.select(*[((F.col(k) + 0.5 + (share if i == axis else F.lit(0.0))) * voxel).alias(a) for i, (k, a) in enumerate(zip(_CELL, "xyz", strict=True))])
-        out = made if out is None else out.unionByName(made)
-    return out
+    steps = [(0, 0, 0), *[tuple(int(k == axis) for k in range(3)) for axis in range(3)]]
+    around = F.explode(F.array(*[F.struct(*[(F.col(c) - o).alias(c) for c, o in zip(_CELL, step, strict=True)], F.lit(k).alias("k")) for k, step in enumerate(steps)]))
+    met = field.select(around.alias("q"), "sdf").groupBy(*[F.col(f"q.{c}").alias(c) for c in _CELL]).agg(*[F.max(F.when(F.col("q.k") == k, F.col("sdf"))).alias(f"s{k}") for k in range(4)])
+    own = F.col("s0")
+    made = []
+    for axis in range(3):
+        ahead = F.col(f"s{axis + 1}")
+        share = own / (own - ahead)
+        place = F.struct(*[((F.col(c) + 0.5 + (share if i == axis else F.lit(0.0))) * voxel).alias(a) for i, (c, a) in enumerate(zip(_CELL, "xyz", strict=True))])
+        made.append(F.when((own > 0) != (ahead > 0), place))
+    return met.select(F.explode(F.array(*made)).alias("p")).where("p IS NOT NULL").select("p.*")
 
 
 def statistics(field: DataFrame, voxel: float = 0.01, truncation: float = 0.04) -> DataFrame:

@@ -239,6 +239,20 @@ def test_tsdf_against_brute_force_in_any_order(spark):
     assert {(x.det_idx, x.vx, x.vy, x.vz): x.sdf for x in again} == {k: x.sdf for k, x in got.items()}
 
 
+def test_surface_reads_the_field_once(spark):
+    values = {(x, y, z): float(np.sin(3 * x + y) + np.cos(2 * z - x)) for x in range(4) for y in range(4) for z in range(4) if (x, y, z) != (1, 1, 1)}
+    field = spark.createDataFrame([(*v, s) for v, s in values.items()], "vx int, vy int, vz int, sdf double")
+    want = []
+    for v, s in values.items():
+        for axis in range(3):
+            ahead = tuple(x + int(i == axis) for i, x in enumerate(v))
+            if ahead in values and (s > 0) != (values[ahead] > 0):
+                want.append(tuple((x + 0.5 + (s / (s - values[ahead]) if i == axis else 0)) * 0.5 for i, x in enumerate(v)))
+    found = tsdf.surface_points(field, 0.5)
+    assert sorted((p.x, p.y, p.z) for p in found.collect()) == [pytest.approx(p) for p in sorted(want)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + found._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
 def test_rgbd_source(spark, tmp_path):
     results = tmp_path / "results"
     results.mkdir()
