@@ -71,21 +71,62 @@ def _objects_schema() -> str:
 
 
 def graph_document(objects: DataFrame, relations: DataFrame, components: DataFrame, include_objects: bool = True) -> DataFrame:
-    """A graph as one row ``value``: metadata, components, relations and, if asked, objects."""
+    """A graph as (section, at, value): the elements of its document, each as JSON. Sections are
+    ``metadata`` (one element), ``relations``, ``components`` and, if asked, ``objects``; ``at`` orders
+    those of one. A document is as large as its graph, so no row holds all of it; ``document_lines``
+    makes one text of them.
+    """
+    counts = [d.agg(F.count("*").alias(n)) for d, n in ((objects, "num_nodes"), (relations, "num_edges"), (components.select("component_id").distinct(), "num_components"))]
+    metadata = counts[0].join(F.broadcast(counts[1])).join(F.broadcast(counts[2]))  # one row each
+    edges = relations.select("object_a_id", "object_b_id", "relation_type", "confidence")
     lists = components.groupBy("component_id").agg(F.sort_array(F.collect_list("object_id")).alias("object_ids"), F.count("*").alias("size"))
-    parts = [
-        objects.agg(F.count("*").alias("num_nodes")),
-        relations.agg(F.count("*").alias("num_edges"), F.sort_array(F.collect_list(F.struct("object_a_id", "object_b_id", "relation_type", "confidence"))).alias("relations")),
-        lists.agg(F.count("*").alias("num_components"), F.sort_array(F.collect_list(F.struct("component_id", "object_ids", "size"))).alias("components")),
-    ]
+    sections = [("metadata", metadata, []), ("relations", edges, ["object_a_id", "object_b_id"]), ("components", lists, ["component_id"])]
     if include_objects:
-        shaped = object_rows(objects)
-        parts.append(shaped.agg(F.sort_array(F.collect_list(F.struct(*shaped.columns))).alias("objects")))
-    return _document(parts)
+        sections.append(("objects", object_rows(objects), ["object_id"]))
+    out = None
+    for name, rows, order in sections:
+        at = F.array(*[F.col(c).cast("long") for c in order]).cast("array<long>")
+        made = rows.select(F.lit(name).alias("section"), at.alias("at"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+#: Sections of a graph's document after its metadata, in order.
+_SECTIONS = ("relations", "components", "objects")
+
+
+def document_lines(document: DataFrame, sections: tuple[str, ...] = _SECTIONS) -> DataFrame:
+    """The lines of one JSON text, in one partition and in order: the metadata's fields, then each
+    of ``sections`` as a list with an element on each line. One text is one task's to write; it
+    streams through and is never held."""
+    heads = document.sparkSession.createDataFrame([(s, k) for k, s in enumerate(sections, 1)], "section string, rank int")
+    # of a section: its head, then its elements, the first without a comma, then its end
+    last = len(sections)
+    marks = heads.select("rank", F.lit(0).alias("part"), F.lit(None).cast("array<long>").alias("at"), F.concat(F.lit('"'), "section", F.lit('": [')).alias("value"))
+    ends = heads.select("rank", F.lit(2).alias("part"), F.lit(None).cast("array<long>").alias("at"), F.when(F.col("rank") == last, "]}").otherwise("],").alias("value"))
+    rank = F.coalesce(*[F.when(F.col("section") == s, F.lit(k)) for k, s in enumerate(("metadata", *sections))])
+    rows = document.select(rank.alias("rank"), F.lit(1).alias("part"), "at", "value").where("rank IS NOT NULL").unionByName(marks).unionByName(ends)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None
+        for batch in batches:
+            lines = []
+            for rank, part, value in zip(batch["rank"], batch["part"], batch["value"], strict=True):
+                if rank == 0:
+                    value = value[:-1] + ("," if sections else "}")
+                elif part == 1 and before == (rank, 1):
+                    value = "," + value
+                before = (rank, part)
+                lines.append(value)
+            yield pd.DataFrame({"value": lines})
+
+    return rows.repartition(1).sortWithinPartitions("rank", "part", "at", "value").mapInPandas(run, "value string")
 
 
 def write_graph(objects: DataFrame, relations: DataFrame, components: DataFrame, path: str, include_objects: bool = True) -> None:
-    graph_document(objects, relations, components, include_objects).coalesce(1).write.mode("overwrite").text(path)
+    """Write the graph's document to a folder, as the lines of one file."""
+    document = graph_document(objects, relations, components, include_objects)
+    document_lines(document, _SECTIONS if include_objects else _SECTIONS[:-1]).write.mode("overwrite").text(path)
 
 
 def to_dicts(objects: DataFrame) -> DataFrame:

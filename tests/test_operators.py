@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from lodestrata.operators import captions, clouds, graph, masks, tracking, tsdf
 from lodestrata.operators.relations import relate
 from lodestrata.plans import tracking_queries
 from lodestrata.plans.common import Views
+from lodestrata.plans.relations_queries import edges_of
 from lodestrata.sources import png, rgbd, scenes
 from lodestrata.streaming.tracker import track_stream
 
@@ -253,6 +256,30 @@ def test_surface_reads_the_field_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + found._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
 
 
+def test_graph_document_is_made_of_elements(spark, tmp_path):
+    v = Views(spark, "/root/testdata/sf0.001")
+    objects = v.objects.where("object_id < 40")
+    relations = edges_of(v).where("object_a_id < 40 AND object_b_id < 40 AND relation_type = 'on'")
+    parts = graph.connected_components(objects, relations.selectExpr("object_a_id AS a_id", "object_b_id AS b_id"))
+    rows = scenes.graph_document(objects, relations, parts)
+    n, m, k = objects.count(), relations.count(), parts.select("component_id").distinct().count()
+    # all was one row before
+    assert {r.section: r["count"] for r in rows.groupBy("section").count().collect()} == {"metadata": 1, "objects": n, "relations": m, "components": k}
+    for asked in (True, False):
+        scenes.write_graph(objects, relations, parts, f"{tmp_path}/{asked}", asked)
+        (file,) = (tmp_path / str(asked)).glob("part-*")
+        doc = json.loads(file.read_text())
+        assert [doc[c] for c in ("num_nodes", "num_edges", "num_components")] == [n, m, k] and ("objects" in doc) == asked
+        pairs = [(r["object_a_id"], r["object_b_id"]) for r in doc["relations"]]
+        assert len(pairs) == m and pairs == sorted(pairs)
+        assert sorted(i for c in doc["components"] for i in c["object_ids"]) == sorted(r.object_id for r in objects.collect())
+        if asked:
+            assert [o["object_id"] for o in doc["objects"]] == sorted(r.object_id for r in objects.collect()) and len(doc["objects"][0]["bounding_box_3d_corners"]) == 8
+    scenes.write_graph(objects.where("false"), relations.where("false"), parts.where("false"), f"{tmp_path}/none")
+    (file,) = (tmp_path / "none").glob("part-*")
+    assert json.loads(file.read_text()) == {"num_nodes": 0, "num_edges": 0, "num_components": 0, "relations": [], "components": [], "objects": []}
+
+
 def test_rgbd_source(spark, tmp_path):
     results = tmp_path / "results"
     results.mkdir()
