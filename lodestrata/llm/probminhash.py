@@ -14,9 +14,9 @@ that similarity then is the plain Jaccard similarity of the two sets.
 Registers are banded; a document that shares a band bucket is compared with the bucket's
 first document. Components of these links come next; then the members of every bucket that
 still holds several components are compared across components and hand on a link only where it
-joins two. Buckets too large for one task are first parted by a second band: two documents of a
-similarity of 0.8 share two of the 40 bands but for 3 in a million. So a group of copies costs
-links in proportion to its size and no pairs of a group are listed.
+joins two. Buckets too large for one task are first parted by the rarest shingles of their
+documents, which loses no link (``prefixes``). So a group of copies costs links in proportion to
+its size and no pairs of a group are listed.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textvec
@@ -284,17 +284,45 @@ def _open_groups(members: DataFrame) -> DataFrame:
     return groups.where(outside > 0).select("bucket", F.col("main.own").alias("main"), "n", outside.alias("outside"))
 
 
-def across_components(members: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, weighting: str = "set") -> DataFrame:
+def prefixes(texts: DataFrame, threshold: float = THRESHOLD, weighting: str = "set") -> DataFrame:
+    """(doc_id, shingle): of each text the shingles, rarest first, that the rest cannot replace.
+
+    Shingles are in one order for all texts: by how many of ``texts`` hold them, then by value. A
+    text's last ones that together weigh less than ``threshold`` of it are left out. Two texts of
+    that similarity share at least that much of either's weight, so the first shingle that they
+    share is left out of neither: links always meet in a shingle, and common passages come last.
+    """
+    held = cut(texts.select("doc_id", "text").mapInArrow(_exploded(weighting), "doc_id long, shingle long, weight double"))
+    times = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    # the weight of a text's rare ones, then of those that others hold too, in order
+    whole = held.groupBy("doc_id").agg(F.sum("weight").alias("whole"))
+    common = held.join(times, "shingle")
+    after = Window.partitionBy("doc_id").orderBy(F.desc("times"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = common.withColumn("rest", F.sum("weight").over(after)).join(whole, "doc_id")
+    return rest.where(F.col("rest") >= (threshold - 1e-9) * F.col("whole")).select("doc_id", "shingle")
+
+
+def _exploded(weighting: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            for doc_id, text in zip(got.column(0).to_pylist(), got.column(1), strict=True):
+                value, weight = _set_of(text.as_py(), weighting)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), doc_id, dtype=np.int64)), pa.array(value.view(np.int64)), pa.array(weight.astype(float))], ["doc_id", "shingle", "weight"])
+
+    return run
+
+
+def across_components(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, weighting: str = "set") -> DataFrame:
     """Links that join components of ``members`` (bucket, doc_id, own: its component).
 
-    ``signed``: doc_id, bands. Members of a bucket's largest component only meet those outside
-    it, in blocks. A bucket with more than ``BLOCK`` of these is first parted by each other band
-    that its documents share too.
+    Members of a bucket's largest component only meet those outside it, in blocks. Documents of
+    buckets with more than ``BLOCK`` of these meet where they share one of their ``prefixes``
+    instead, so that each link of such a bucket is found.
     """
     held = members.join(_open_groups(members), "bucket")
-    wide = held.where(F.col("outside") > BLOCK).join(signed.select("doc_id", F.explode("bands").alias("other")), "doc_id").where("other <> bucket")
-    finer = F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other"), F.lit("two bands"))
-    finer = cut(wide.select(finer.alias("bucket"), "doc_id", "own").distinct())
+    wide = cut(held.where(F.col("outside") > BLOCK).select("doc_id", "own").distinct())
+    rare = prefixes(texts.join(wide, "doc_id", "left_semi"), threshold, weighting)
+    finer = cut(wide.join(rare, "doc_id").select(F.xxhash64("shingle", F.lit("prefix")).alias("bucket"), "doc_id", "own"))
     columns = ["bucket", "doc_id", "own", "main", "n", "outside"]
     met = held.where(F.col("outside") <= BLOCK).select(columns).unionByName(finer.join(_open_groups(finer), "bucket").select(columns))
     met = cut(met)
@@ -373,7 +401,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     release(docs.sparkSession)
     found = components(links)
     inside = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    more = across_components(cut(inside.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("own"))), signed, own, threshold, weighting)
+    more = across_components(cut(inside.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("own"))), own, threshold, weighting)
     release(docs.sparkSession)
     if not more.isEmpty():
         found = components(links.unionByName(more))

@@ -126,3 +126,22 @@ def test_long_regular_words_are_told_apart():
     a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
     b = a.translate(str.maketrans("ab", "ba"))
     assert P._set_of(a, "set")[0].tolist() != P._set_of(b, "set")[0].tolist()
+
+
+def test_wide_buckets_lose_no_link(spark, monkeypatch):
+    # documents that share one band alone met no more once their bucket was wide
+    monkeypatch.setattr(P, "BLOCK", 4)
+    rng = random.Random(21)
+    passage = words(rng, 40)
+    docs = [" ".join(words(rng, 50) + passage) for _ in range(30)]
+    for k in (0, 7, 11):
+        own = docs[k].split()
+        own[3] = own[60] = "changed"
+        docs.append(" ".join(own))
+    texts = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    members = texts.selectExpr("1L AS bucket", "doc_id", "doc_id AS own")
+    for weighting in ("set", "count"):
+        sets = [P._set_of(t, weighting) for t in docs]
+        want = {(a, b) for b in range(len(docs)) for a in range(b) if P.alike(sets[a], sets[b], weighting) >= 0.8}
+        assert want == {(0, 30), (7, 31), (11, 32)}
+        assert {(min(r.a, r.b), max(r.a, r.b)) for r in P.across_components(members, texts, weighting=weighting).collect()} == want
