@@ -90,6 +90,13 @@ def test_overlap_sends_points_about_once(spark):
     assert {(int(r.a_id[1]), int(r.b_id[1])): r.ratio for r in two} == pytest.approx({k: v for k, v in want.items() if k[0] < 2 <= k[1]})
 
 
+def test_relations_of_overlaps_list_no_cells(spark):
+    from lodestrata.plans import perception_queries
+
+    plan = perception_queries.overlap_relations(Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "gx" not in plan
+
+
 def test_voxels_are_associative(spark):
     rows = [(1, 0.1 * i, 0.0, -0.05 * i, 0.5, 0.5, 0.5) for i in range(30)]
     df = spark.createDataFrame(rows, "object_id long, x double, y double, z double, r double, g double, b double")
