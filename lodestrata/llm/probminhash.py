@@ -12,7 +12,7 @@ a parameter (``WEIGHTINGS``). By default each distinct one weighs 1 whatever its
 that similarity then is the plain Jaccard similarity of the two sets.
 
 Registers are banded; a document that shares a band bucket is compared with the bucket's
-first document. Components of these links come next; then the members of every bucket that
+first document. Components of these links come next; then the other members of every bucket that
 still holds several components are compared across components and hand on a link only where it
 joins two. Buckets too large for one task are first parted by the rarest shingles of their
 documents, which loses no link (``prefixes``). So a group of copies costs links in proportion to
@@ -46,6 +46,8 @@ WEIGHTINGS = {"set": lambda times: np.ones(len(times)), "log": lambda times: 1 +
 UNNAMED = 1 << 62
 #: A group of copies of more than this share of all documents is looked up by broadcast.
 _LARGE = 1000
+#: Bits of the bitmaps of ``of_wanted``, and bits of one of these as Spark makes it.
+_BITS, _BITMAP = 1 << 25, 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,9 +175,32 @@ def _compare(threshold: float, weighting: str):
     return run
 
 
+def of_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` without most of those whose doc_id is not in ``wanted``; none that is goes.
+
+    Joins shuffle what they do not want too, and texts are large. So ids are first looked up in
+    bitmaps of hashed ids, ``_BITS`` bits (4 MB) in all however many ids there are; a join on
+    what is left then drops those that hit a bit by chance.
+    """
+
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c).cast("long"), F.lit("wanted")), F.lit(_BITS))
+
+    def of(c: Column) -> Column:
+        return F.floor(c / _BITMAP).cast("int")
+
+    at = wanted.select(place("doc_id").alias("at"))
+    bits = at.groupBy(of(F.col("at")).alias("bitmap")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_BITMAP))).alias("bits"))
+    mine = place("doc_id")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.pmod(mine, F.lit(_BITMAP)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2), F.pmod(mine, F.lit(8)))).cast("int").bitwiseAND(F.lit(1)) == 1
+    return texts.join(F.broadcast(bits), (of(mine) == F.col("bitmap")) & hit, "left_semi")  # at most _BITS / _BITMAP rows
+
+
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, weighting: str = "set") -> DataFrame:
     """The pairs (a, b) that are links. A document that is ``a`` of many is sent to several tasks."""
     pairs = cut(pairs)
+    texts = of_wanted(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_PAIRS).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     firsts = texts.join(parts.withColumnRenamed("a", "doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("text").alias("text_a"))
@@ -321,7 +346,7 @@ def across_components(members: DataFrame, texts: DataFrame, threshold: float = T
     """
     held = members.join(_open_groups(members), "bucket")
     wide = cut(held.where(F.col("outside") > BLOCK).select("doc_id", "own").distinct())
-    rare = prefixes(texts.join(wide, "doc_id", "left_semi"), threshold, weighting)
+    rare = prefixes(of_wanted(texts, wide).join(wide, "doc_id", "left_semi"), threshold, weighting)
     finer = cut(wide.join(rare, "doc_id").select(F.xxhash64("shingle", F.lit("prefix")).alias("bucket"), "doc_id", "own"))
     columns = ["bucket", "doc_id", "own", "main", "n", "outside"]
     met = held.where(F.col("outside") <= BLOCK).select(columns).unionByName(finer.join(_open_groups(finer), "bucket").select(columns))
@@ -335,7 +360,7 @@ def across_components(members: DataFrame, texts: DataFrame, threshold: float = T
     to_main = F.transform(F.sequence(F.lit(0), a - 1), lambda i: key(i, mine))
     to_others = F.transform(F.sequence(F.lit(0), b - 1), lambda j: key(mine, j))
     pairs = met.select("bucket", "doc_id", "own", F.explode(F.when(inside, to_others).otherwise(F.concat(to_main, others))).alias("at")).select("bucket", "at.i", "at.j", "doc_id", "own")
-    wanted = texts.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    wanted = of_wanted(texts, met).join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
     rows = pairs.join(wanted.mapInArrow(_sets(weighting), "doc_id long, shingles binary, weights binary"), "doc_id")
     runs = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return cut(runs.select("bucket", "i", "j", "doc_id", "own", "shingles", "weights").mapInArrow(_across(threshold), "a long, b long").distinct())
@@ -400,7 +425,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = verify(members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), own, threshold, weighting)
     release(docs.sparkSession)
     found = components(links)
-    inside = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    # pairs of a bucket's first document have been compared, so they need not meet again
+    inside = members.where("doc_id <> pivot").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     more = across_components(cut(inside.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("own"))), own, threshold, weighting)
     release(docs.sparkSession)
     if not more.isEmpty():

@@ -145,3 +145,32 @@ def test_wide_buckets_lose_no_link(spark, monkeypatch):
         want = {(a, b) for b in range(len(docs)) for a in range(b) if P.alike(sets[a], sets[b], weighting) >= 0.8}
         assert want == {(0, 30), (7, 31), (11, 32)}
         assert {(min(r.a, r.b), max(r.a, r.b)) for r in P.across_components(members, texts, weighting=weighting).collect()} == want
+
+
+def test_texts_that_are_not_wanted_are_not_shuffled(spark):
+    # all texts were shuffled three times over before
+    texts = spark.range(-500, 4500).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    wanted = texts.where("doc_id % 50 = 0").selectExpr("doc_id").unionAll(spark.range(9000, 9010).toDF("doc_id"))
+    got = {r.doc_id for r in P.of_wanted(texts, wanted).collect()}
+    assert set(range(-500, 4500, 50)) <= got and len(got) < 110
+    assert P.of_wanted(texts, wanted.limit(0)).count() == 0
+    assert P.of_wanted(texts, texts).count() == 5000
+
+
+def test_compared_pairs_do_not_meet_again(spark, monkeypatch):
+    # the first document of a bucket, which is compared with all others, met them again before
+    rng = random.Random(23)
+    base = words(rng, 200)
+    near = [*base[:170], *words(rng, 30)]  # about 0.74 like the base
+    other = [*near[:190], "changed", *near[191:]]  # over 0.9 like the last
+    docs = [(3, " ".join(base)), (5, " ".join(near)), (7, " ".join(other))]
+    seen, across = [], P.across_components
+
+    def kept(members, *more):
+        seen.append(P._open_groups(members).count())
+        return across(members, *more)
+
+    monkeypatch.setattr(P, "across_components", kept)
+    for n, want in ((2, {3: 3, 5: 5}), (3, {3: 3, 5: 5, 7: 5})):
+        got = P.near_duplicates(spark.createDataFrame(docs[:n], "doc_id long, text string")).collect()
+        assert {r.doc_id: r.class_id for r in got} == want and seen.pop() == 0
